@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewarden.functions.text import clean_id
-from gatewarden.llm import bpe, splits
+from gatewarden.llm import bpe, leaks, overlap, splits
 from gatewarden.tables import table
 
 
@@ -28,7 +28,35 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p8_ids": p8_ids}
+def _labeled(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "labeled_requests")
+    return rows.select(
+        F.col("event.req_id").alias("req_id"), F.col("event.prompt").alias("prompt"), clean_id(F.col("split")).alias("split"),
+        clean_id(F.col("event.publisher_id")).alias("publisher_id"), splits.session_key(F.col("event.request_context.session_id")).alias("session_id"),
+    ).where("req_id is not null")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs, _ = overlap.cross_split(_labeled(spark, folder), "req_id", "prompt", "split")
+    return pairs.select(F.least("train_key", "eval_key").alias("req_id_a"), F.greatest("train_key", "eval_key").alias("req_id_b"))
+
+
+def p6_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Per split and publisher: evaluation rows, those that overlap train, and their mean best coverage."""
+    rows = _labeled(spark, folder)
+    pairs, _ = overlap.cross_split(rows, "req_id", "prompt", "split")
+    best = pairs.groupBy(F.col("eval_key").alias("req_id")).agg(F.max("coverage").alias("coverage"), F.count("*").alias("n"))
+    held = rows.where("split <> 'train'").join(best, "req_id", "left")
+    return held.groupBy("split", "publisher_id").agg(
+        F.count("*").alias("n_rows"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.round(F.avg("coverage"), 6).alias("mean_coverage")
+    )
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
+
+
+QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p6_found": p6_found, "p6_report": p6_report, "p8_ids": p8_ids, "p9_found": p9_found}
 
 ORACLE = {
     "p3_found": r"""with recursive
