@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewarden.functions.text import clean_id
-from gatewarden.llm import bpe, leaks, overlap, splits
+from gatewarden.llm import bpe, leaks, overlap, sentences, splits
 from gatewarden.tables import table
 
 
@@ -56,7 +56,11 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.find_leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "eval_items"), "item_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p6_found": p6_found, "p6_report": p6_report, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentence_table(table(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p6_found": p6_found, "p6_report": p6_report, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 ORACLE = {
     "p3_found": r"""with recursive
