@@ -45,6 +45,7 @@ _AFTER = re.compile(rf"(?:[)\]}}\"”’»」』）】》]|\s?»|{EMOJI})*")
 _THAI = re.compile(rf"(?<=[ก-๎])(?:{EMOJI})?(\s+)(?=[ก-๎])")
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-़ͯा-्]|\.(?=\w))*$")
 _LAST_TOKEN = re.compile(r"\S*$")
+_WHOLE = re.compile(r"(?:[^\W\d_]{5}|[\w%]*\d[\d.,]*%?)[)\]»”’]*$")
 _SPACE = re.compile(r"\s*")
 _NEXT_TOKEN = re.compile(r"\S*")
 _CLOSES = {"”": "“„", "»": "«", "’": "‘", ")": "(", "）": "（", "」": "「", "』": "『", "】": "【", "》": "《", "]": "["}
@@ -97,7 +98,9 @@ def _full_stop_holds(text: str, start: int, low: int, after: int, follow: int, h
     head = text[max(low, start - 40) : start]
     if not gap and after < high and follow == after == start + 1:
         before = text[start - 1] if start > low else ""
-        if not letter.isalpha() or letter.islower():
+        if not letter.isalpha() or letter.islower() or before in _OPENERS or "฀" <= letter <= "๿" or letter >= "぀":
+            return True
+        if not letter.isupper() and not re.match(r"\w{2}", text[follow : follow + 2]):
             return True
         token = _LAST_TOKEN.search(head).group()
         rest = _NEXT_TOKEN.match(text, start, min(high, start + 60)).group()
@@ -160,6 +163,8 @@ def _is_end(text: str, m: re.Match, low: int, high: int, after: int, quoted: boo
     if mark[-1] in _HARD:
         return not (quoted and letter.islower())
     if letter.islower():
+        if mark == "." and gap:  # only after a whole word or a number, as an abbreviation is short
+            return bool(_WHOLE.search(text, max(low, m.start() - 12), m.start())) and not _full_stop_holds(text, m.start(), low, after, follow, high, True)
         return c in "¿¡" and mark[-1] in "!?؟" and gap
     if len(mark) > 1 and set(mark) <= {".", "…"} or mark[-1] == "…":
         return letter.isupper() and gap
