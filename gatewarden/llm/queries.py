@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewarden.functions.text import clean_id
-from gatewarden.llm import bpe, leaks, overlap, sentences, splits
+from gatewarden.llm import bpe, languages, leaks, overlap, sentences, splits
+from gatewarden.llm.records import records
 from gatewarden.tables import table
 
 
@@ -24,6 +25,21 @@ def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
     return splits.assign_splits(rows, "delivery_id", clean_id(F.col("publisher_id")), splits.session_key(F.col("request_context.session_id")))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = records(spark, folder)
+    return languages.find_cases(rows, languages.fit_on(rows))
+
+
+def p7_records(spark: SparkSession, folder: str) -> DataFrame:
+    rows = records(spark, folder)
+    return languages.record_table(rows, languages.fit_on(rows))
+
+
+def p7_segments(spark: SparkSession, folder: str) -> DataFrame:
+    rows = records(spark, folder)
+    return languages.segment_table(rows, languages.fit_on(rows))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -60,7 +76,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_table(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p6_found": p6_found, "p6_report": p6_report, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_records": p7_records, "p7_segments": p7_segments, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 ORACLE = {
     "p3_found": r"""with recursive
