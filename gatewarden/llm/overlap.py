@@ -55,6 +55,7 @@ class Shard:
         self.classes = evals["class"].to_list()
         self.lines = [line.split() for line in evals["line"]]
         self.share = share
+        self.distinct = [frozenset(x) for x in self.lines]
         self.sizes = np.array([len(x) for x in self.lines])
         may_miss = self.sizes - np.ceil(share * self.sizes - 1e-9).astype(int)
         uses: dict[str, list[int]] = {}
@@ -64,6 +65,7 @@ class Shard:
                 uses.setdefault(w, []).append(i)
             need.append(len(rare) - int(may_miss[i]))
         self.need = np.array(need)
+        self.least = [len(d) - int(k) for d, k in zip(self.distinct, may_miss)]  # distinct tokens that any match shares
         self.automaton = ahocorasick.Automaton()
         for w, at in uses.items():
             self.automaton.add_word(f" {w} ", np.array(at, dtype=np.int64))
@@ -77,15 +79,21 @@ class Shard:
         n, hits = len(words), {}
         for end, at in self.automaton.iter(f" {line} "):
             hits[id(at)] = at
-        counts = np.bincount(np.concatenate(list(hits.values())), minlength=len(self.sizes)) if hits else np.zeros(len(self.sizes), dtype=int)
-        longer = np.maximum(self.sizes, n)
-        fits = (counts >= self.need) & (np.minimum(self.sizes, n) >= self.share * longer - 1e-9)
-        for i in np.nonzero(fits)[0]:
+        if hits:
+            left = np.nonzero(np.bincount(np.concatenate(list(hits.values())), minlength=len(self.need)) >= self.need)[0]
+        else:
+            left = np.nonzero(self.need <= 0)[0]
+        mine = frozenset(words)
+        for i in left.tolist():
+            size = int(self.sizes[i])
+            longer = max(size, n)
+            if min(size, n) < self.share * longer - 1e-9 or len(mine & self.distinct[i]) < self.least[i]:
+                continue
             at = self.masks.get(i)
             if at is None:
                 at = self.masks[i] = bitwise.masks(self.lines[i])
-            common = masked_lcs(at, int(self.sizes[i]), words)
-            if common >= self.share * longer[i] - 1e-9:
+            common = masked_lcs(at, size, words)
+            if common >= self.share * longer - 1e-9:
                 yield self.classes[i], common
 
 
@@ -99,7 +107,7 @@ def masked_lcs(at: dict, size: int, words: list[str]) -> int:
     return size - row.bit_count()
 
 
-def matching_classes(texts: DataFrame, share: float = 0.8, spare: int = 3, shard_rows: int = 8_000) -> DataFrame:
+def matching_classes(texts: DataFrame, share: float = 0.8, spare: int = 6, shard_rows: int = 8_000) -> DataFrame:
     """(train_class, eval_class, common, longer) of texts (class, line, n, in_train, in_eval)."""
     spark = texts.sparkSession
     step = math.log(1 / share)
@@ -107,7 +115,7 @@ def matching_classes(texts: DataFrame, share: float = 0.8, spare: int = 3, shard
     words = F.array_distinct(F.split("line", " "))
     frequency = texts.select(F.explode(words).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     may_miss = F.col("n") - F.ceil(share * F.col("n") - 1e-9)
-    spared = F.greatest(F.lit(spare), F.ceil(F.col("n") / 20))
+    spared = F.greatest(F.lit(spare), F.ceil(F.col("n") / 6))
     evals = texts.where("in_eval")
     ranked = evals.select("class", F.explode(words).alias("w")).join(frequency, "w").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ranked"))
     patterns = evals.join(ranked, "class").select("class", "line", "band", F.slice(F.transform("ranked", lambda r: r["w"]), F.lit(1), (may_miss + spared).cast("int")).alias("rare"))
