@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewarden.functions.text import clean_id
-from gatewarden.llm import bpe, languages, leaks, overlap, sentences, splits
+from gatewarden.llm import bpe, languages, leaks, overlap, pii, sentences, splits
 from gatewarden.llm.records import records
 from gatewarden.tables import table
 
@@ -44,6 +44,16 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = records(spark, folder)
+    return pii.find_kinds(rows, pii.fit_on(rows))
+
+
+def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    rows = records(spark, folder)
+    return pii.redacted_table(rows, pii.fit_on(rows))
+
+
 def _labeled(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "labeled_requests")
     return rows.select(
@@ -76,7 +86,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_table(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_records": p7_records, "p7_segments": p7_segments, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_records": p7_records, "p7_segments": p7_segments, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 ORACLE = {
     "p3_found": r"""with recursive
