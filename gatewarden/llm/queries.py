@@ -6,11 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewarden.functions.text import clean_id
-from gatewarden.llm import bpe, languages, leaks, overlap, pii, sentences, splits
+from gatewarden.llm import abuse, bpe, languages, leaks, overlap, pii, sentences, splits
 from gatewarden.llm.records import records
 from gatewarden.tables import table
 
 
+def _abuse_scores(spark: SparkSession, folder: str) -> DataFrame:
+    rows = records(spark, folder)
+    net = abuse.fit_on(rows, abuse.verdicts_of(table(spark, folder, "moderated_requests")))
+    return abuse.score_table(rows, net)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _abuse_scores(spark, folder).where(F.col("score") >= abuse.THRESHOLD).select("origin", "record_id").distinct()
+
+
+def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _abuse_scores(spark, folder).select("origin", "record_id", "score")
+
+
+def p1_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.rates(_abuse_scores(spark, folder))
+
+
 def _links(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "raw_requests")
     return splits.components(splits.ties(rows.select(clean_id(F.col("publisher_id")).alias("left"), splits.session_key(F.col("request_context.session_id")).alias("right"))))
@@ -86,7 +104,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_table(table(spark, folder, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_records": p7_records, "p7_segments": p7_segments, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p1_scores": p1_scores, "p1_rates": p1_rates, "p3_found": p3_found, "p3_splits": p3_splits, "p5_found": p5_found, "p5_redacted": p5_redacted, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p7_records": p7_records, "p7_segments": p7_segments, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 ORACLE = {
     "p3_found": r"""with recursive
