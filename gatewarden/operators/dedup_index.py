@@ -46,7 +46,7 @@ def _known(ids: np.ndarray, runs: list[np.ndarray]) -> np.ndarray:
 
 def _ingest(batch: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     if batch.empty:
-        return pd.DataFrame({"prefix": [], "ids": [], "kept": []})
+        return pd.DataFrame([], columns=["prefix", "ids", "kept"], dtype=object)
     ids, order = _digests(batch["digest"]), batch["first"].to_numpy("int64")
     fresh = ~_known(ids, [_sorted_ids(b) for b in index["ids"]])
     ids, order = ids[fresh], order[fresh]

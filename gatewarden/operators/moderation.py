@@ -53,7 +53,10 @@ def char_grams(df: DataFrame, key: str, normalised: str, sizes=(3, 4, 5)) -> Dat
     words = df.select(key, word).where("w <> ''").withColumn("p", F.concat(F.lit(" "), "w", F.lit(" ")))
     n = F.length("p")
     # with its spaces a word has three characters at least, so the shortest size always fits
-    lists = [F.when(n >= s, F.transform(F.sequence(F.lit(1), n - s + 1), lambda i, s=s: F.substring("p", i, F.lit(s)))) for s in sizes]
+    def of_size(s: int) -> Column:
+        return F.when(n >= s, F.transform(F.sequence(F.lit(1), n - s + 1), lambda i: F.substring("p", i, F.lit(s))))
+
+    lists = [of_size(s) for s in sizes]
     grams = words.select(key, F.explode(F.flatten(F.array_compact(F.array(*lists)))).alias("gram"))
     return grams.groupBy(key, "gram").agg((1 + F.log(F.count("*").cast("double"))).alias("tf"))
 
