@@ -12,8 +12,8 @@ the verified sentences make up half.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pandas as pd
@@ -25,6 +25,8 @@ from gatewarden.llm.broadcasts import bounded
 from gatewarden.llm.fold import fold, is_solid, tokens
 
 _ENDS = re.compile(r"(?<=[.!?।])\s+|(?<=[。！？])")
+#: Numbers, and words with a capital inside the sentence.
+_NAMED = re.compile(r"\d[\d.,]*|(?<=\S\s)[^\W\d_a-zß-ÿа-яё][^\W\d_]+")
 _NOT_ASCII = re.compile(r"[^a-z0-9]+")
 
 
@@ -45,34 +47,53 @@ class Sentence:
             yield a, b - a, f" {' '.join(self.words[a:b])} "
 
 
+def cut(text: str | None) -> list[tuple[str, list[str], bool]]:
+    """(sentence, its symbols, whether they are characters) of an item."""
+    out = []
+    for part in _ENDS.split(text or ""):
+        solid = is_solid(part)
+        symbols = letters(part) if solid else tokens(part)
+        if symbols:
+            out.append((part, symbols, solid))
+    return out
+
+
+def statistics(items: Iterable[tuple[int, str]], shared_by: int = 3, rare: int = 3) -> tuple[set[str], set[str]]:
+    """(folded sentences of ``shared_by`` items or more, words of more than ``rare`` items)."""
+    sentences, ws = Counter(), Counter()
+    for _, text in items:
+        parts = cut(text)
+        sentences.update({" ".join(symbols) for _, symbols, _ in parts})
+        ws.update({w for part, _, _ in parts for w in tokens(part)})
+    return {k for k, n in sentences.items() if n >= shared_by}, {k for k, n in ws.items() if n > rare}
+
+
 class LeakIndex:
-    """Automaton over the pieces of a block of items."""
+    """Automaton over the pieces of a block of items.
 
-    def __init__(self, items: list[tuple[int, str]], shared_by: int = 3, rate: int = 5, rare: int = 3, least_words: int = 5):
-        raw = []
-        for item, text in items:
-            for part in _ENDS.split(text or ""):
-                solid = is_solid(part)
-                words = letters(part) if solid else tokens(part)
-                if words:
-                    raw.append((item, words, solid, part))
-        items_of = defaultdict(set)
-        word_items = defaultdict(set)
-        for item, words, solid, part in raw:
-            items_of[tuple(words)].add(item)
-            for w in set(tokens(part)):
-                word_items[w].add(item)
+    ``shared`` are the sentences that count for no item, ``common`` the words that are no item's own.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], shared: set[str], common: set[str], rate: int = 5, least_words: int = 5):
         self.sentences: list[Sentence] = []
         self.total: Counter = Counter()
-        for item, words, solid, part in raw:
-            if len(items_of[tuple(words)]) >= shared_by:
-                continue
-            self.total[item] += len(words)
-            if len(words) < least_words:
-                continue
+        for item, text in items:
+            for part, words, solid in cut(text):
+                if " ".join(words) in shared:
+                    continue
+                self._add(item, part, words, solid, common, rate, least_words)
+        self._build()
+
+    def _add(self, item, part, words, solid, common, rate, least_words) -> None:
+        self.total[item] += len(words)
+        if len(words) >= least_words:
             s = Sentence(item, words, solid, rate)
-            s.own = [w for w in dict.fromkeys(tokens(part)) if (w.isascii() or not solid) and len(word_items[w]) <= rare]
+            rare = [w for w in dict.fromkeys(tokens(part)) if (w.isascii() or not solid) and w not in common]
+            named = {w for m in _NAMED.finditer(part) for w in tokens(m.group())}
+            s.own = [w for w in rare if w in named] or rare
             self.sentences.append(s)
+
+    def _build(self) -> None:
         at: dict[str, tuple[int, list[tuple[int, int]]]] = {}
         for i, s in enumerate(self.sentences):
             for first, size, piece in s.pieces():
@@ -146,6 +167,23 @@ def is_solid_anywhere(text: str) -> bool:
     return not text.isascii() and any("㐀" <= c <= "鿿" or "฀" <= c <= "๿" or "぀" <= c <= "ヿ" for c in text)
 
 
+def _statistics(items: DataFrame, key: str, text: str, shared_by: int = 3, rare: int = 3) -> tuple[set[str], set[str]]:
+    """As ``statistics``, over all items wherever they are; what comes back is what many items share."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = set()
+            for k, t in zip(pdf[key], pdf[text]):
+                for part, symbols, _ in cut(t):
+                    out.add(("s", " ".join(symbols), str(k)))
+                    out.update(("w", w, str(k)) for w in tokens(part))
+            yield pd.DataFrame(list(out), columns=["kind", "value", "item"])
+
+    seen = items.select(key, text).mapInPandas(run, "kind string, value string, item string").groupBy("kind", "value").agg(F.count_distinct("item").alias("n"))
+    rows = seen.where((F.col("kind") == "s") & (F.col("n") >= shared_by) | (F.col("kind") == "w") & (F.col("n") > rare)).select("kind", "value").collect()
+    return {r["value"] for r in rows if r["kind"] == "s"}, {r["value"] for r in rows if r["kind"] == "w"}
+
+
 def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, block: int = 20_000) -> DataFrame:
     """(key, item key) of every document and item leaked in it.
 
@@ -157,14 +195,14 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     key_type, item_type = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     out = spark.createDataFrame([], f"`{key}` {key_type}, `{item_key}` {item_type}")
     rows = items.select(item_key, item_text).where(F.col(item_text).isNotNull())
-    n = rows.count()
-    blocks = max(1, -(-n // block))
+    blocks = max(1, -(-rows.count() // block))
+    shared_set, common = _statistics(rows, item_key, item_text)
     for b in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == b)
-        shared = bounded(spark, [tuple(r) for r in part.toLocalIterator()])
+        shared = bounded(spark, ([tuple(r) for r in part.toLocalIterator()], shared_set, common))
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = LeakIndex(shared.value)
+            index = LeakIndex(*shared.value)
             for pdf in frames:
                 hits = [(k, item) for k, t in zip(pdf[key], pdf[text]) if t for item in index.search(t)] if index.sentences else []
                 yield pd.DataFrame(hits, columns=[key, item_key])

@@ -163,7 +163,7 @@ def _is_end(text: str, m: re.Match, low: int, high: int, after: int, quoted: boo
     if mark[-1] in _HARD:
         return not (quoted and letter.islower())
     if letter.islower():
-        if mark == "." and gap:  # only after a whole word or a number, as an abbreviation is short
+        if mark == "." and gap and not quoted:  # only after a whole word or a number, as an abbreviation is short
             return bool(_WHOLE.search(text, max(low, m.start() - 12), m.start())) and not _full_stop_holds(text, m.start(), low, after, follow, high, True)
         return c in "¿¡" and mark[-1] in "!?؟" and gap
     if len(mark) > 1 and set(mark) <= {".", "…"} or mark[-1] == "…":

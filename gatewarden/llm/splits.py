@@ -97,8 +97,13 @@ def closest_sum(sizes: Sequence[tuple[int, int]], target: float, max_bits: int =
     for _, _, weight in items:
         history.append(reach)
         reach |= (reach << weight) & mask
-    goal = round(target / unit)
-    best = min((s for d in range(top + 2) for s in (goal - d, goal + d) if 0 <= s <= top and reach >> s & 1), key=lambda s: abs(s - goal), default=0) if reach >> 1 else 0
+    goal = target / unit
+    below, above = int(goal), int(goal) + 1
+    while below > 0 and not reach >> below & 1:
+        below -= 1
+    while above <= top and not reach >> above & 1:
+        above += 1
+    best = above if above <= top and above - goal < goal - below else below
     out: dict[int, int] = {}
     for (size, take, weight), before in zip(reversed(items), reversed(history)):
         if best and not before >> best & 1:
