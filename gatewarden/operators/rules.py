@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gatewarden import config
 from gatewarden.config import RuleConfig
+from gatewarden.functions import bitwise
 from gatewarden.functions.text import collapse_space, strip
 from gatewarden.operators import windows as w
 
@@ -64,9 +65,9 @@ def session_signals(df: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
     halo = max(cfg.ms(n) for n in ("session_burst_s", "churn_s", "cadence_s"))
     x = df.withColumns({"__ip": _value("user_ip"), "__co": F.upper(_value("country")), "__as": F.col("asn").cast("string"), "__ua": _value("user_agent")})
     b = w.blocked(x, "session_id", halo)
-    for value, out in (("__ip", "n_ip"), ("__co", "n_country"), ("__as", "n_asn"), ("__ua", "n_ua")):
-        b = w.with_distinct(b, "session_id", value, cfg.ms("churn_s"), out)
-    b = b.withColumns({"n_session": w.window_count("session_id", cfg.ms("session_burst_s")), "regular_cadence": w.regular_cadence("session_id", cfg.ms("cadence_s"), cfg.cadence_drift_ms)})
+    b = b.withColumn("regular_cadence", w.regular_cadence("session_id", cfg.ms("cadence_s"), cfg.cadence_drift_ms))
+    churn = cfg.ms("churn_s")
+    b = w.with_windows(b, "session_id", {"n_session": (F.lit(1), cfg.ms("session_burst_s"))}, {"n_ip": ("__ip", churn), "n_country": ("__co", churn), "n_asn": ("__as", churn), "n_ua": ("__ua", churn)})
     b = w.unblocked(b).withColumns({
         "session_burst": F.col("n_session") > cfg.session_burst_max,
         "session_ip_churn": F.col("__ip").isNotNull() & (F.col("n_ip") >= cfg.churn_min),
@@ -81,16 +82,19 @@ def session_signals(df: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
 def similar(prompt: str, earlier: list[str], ratio: float) -> bool:
     """Whether the prompt equals an earlier one or its matching blocks reach the ratio.
 
-    Lengths bound the ratio from above, so most pairs are settled without the comparison.
+    The lengths, and then the longest common subsequence (matching blocks are one), bound the ratio from
+    above, so most pairs are settled without the comparison.
     """
-    n = len(prompt)
+    if prompt in earlier:
+        return True
+    n, at = len(prompt), None
     for other in earlier:
-        if prompt == other:
+        least = ratio * (n + len(other)) / 2
+        if min(n, len(other)) < least:
+            continue
+        at = at or bitwise.masks(prompt)
+        if bitwise.masked_lcs(at, n, other) >= least and difflib.SequenceMatcher(None, prompt, other).ratio() >= ratio:
             return True
-        if 2 * min(n, len(other)) >= ratio * (n + len(other)):
-            m = difflib.SequenceMatcher(None, prompt, other)
-            if m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio and m.ratio() >= ratio:
-                return True
     return False
 
 
@@ -134,18 +138,18 @@ def publisher_signals(df: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFram
     """
     halo = max(cfg.ms(n) for n in ("publisher_burst_s", "rate_s", "dispersion_s", "prompt_s", "slow_prompt_s", "geo_s"))
     x = df.withColumns({
-        "__ip": strip(_text("user_ip")), "__se": _text("session_id"), "__pr": _value("prompt"), "__co": F.upper(_value("country")),
+        "__ip": strip(_text("user_ip")), "__se": _text("session_id"), "__pr": F.md5(_value("prompt")), "__co": F.upper(_value("country")),
         "__bad": (bad_user_agent() | (strip(_text("user_agent")) == "")).cast("int"), "__flag": F.coalesce(F.col("session_flagged"), F.lit(False)).cast("int"),
     })
     key = "publisher_id"
     b = w.blocked(x, key, halo)
-    for value, window, out in (("__ip", "dispersion_s", "n_ip_long"), ("__ip", "publisher_burst_s", "n_ip_short"), ("__pr", "prompt_s", "n_prompt"), ("__pr", "slow_prompt_s", "n_prompt_slow"), ("__co", "geo_s", "n_geo")):
-        b = w.with_distinct(b, key, value, cfg.ms(window), out)
-    b = b.withColumns({
-        "n_burst": w.window_count(key, cfg.ms("publisher_burst_s")), "n_rate": w.window_count(key, cfg.ms("rate_s")), "n_long": w.window_count(key, cfg.ms("dispersion_s")),
-        "n_flag": w.window_sum(key, F.col("__flag"), cfg.ms("rate_s")), "n_bad": w.window_sum(key, F.col("__bad"), cfg.ms("rate_s")),
-        "publisher_new_ip": w.first_seen(key, "__ip", cfg.ms("dispersion_s")), "publisher_new_session": w.first_seen(key, "__se", cfg.ms("dispersion_s")),
-    })
+    b = b.withColumns({"publisher_new_ip": w.first_seen(key, "__ip", cfg.ms("dispersion_s")), "publisher_new_session": w.first_seen(key, "__se", cfg.ms("dispersion_s"))})
+    burst, rate, long = cfg.ms("publisher_burst_s"), cfg.ms("rate_s"), cfg.ms("dispersion_s")
+    b = w.with_windows(
+        b, key,
+        {"n_burst": (F.lit(1), burst), "n_rate": (F.lit(1), rate), "n_long": (F.lit(1), long), "n_flag": (F.col("__flag"), rate), "n_bad": (F.col("__bad"), rate)},
+        {"n_ip_long": ("__ip", long), "n_ip_short": ("__ip", burst), "n_prompt": ("__pr", cfg.ms("prompt_s")), "n_prompt_slow": ("__pr", cfg.ms("slow_prompt_s")), "n_geo": ("__co", cfg.ms("geo_s"))},
+    )
     enough = F.col("n_rate") >= cfg.rate_min
     b = w.unblocked(b).withColumns({
         "publisher_burst": F.col("n_burst") > cfg.publisher_burst_max,
@@ -183,7 +187,7 @@ def with_ua_rotation(df: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame
     """
     x = df.withColumn("__ua", _value("user_agent"))
     b = w.blocked(x, "publisher_id", cfg.ms("rotation_s"))
-    seen = F.collect_list(F.struct("ts", "seq", F.col("__ua").alias("v"))).over(w._range("publisher_id", cfg.ms("rotation_s")))
+    seen = F.collect_list(F.struct("ts", "seq", F.col("__ua").alias("v"))).over(w.window_range("publisher_id", cfg.ms("rotation_s")))
     mine = F.transform(F.array_sort(F.filter(seen, lambda e: e["v"].isNotNull() & ((e["ts"] < F.col("ts")) | (e["seq"] <= F.col("seq"))))), lambda e: e["v"])
     firsts = F.array_distinct("__s")
     size = F.array_max(F.transform(firsts, lambda v: F.array_position("__s", v))).cast("int")
@@ -198,7 +202,7 @@ def with_ua_rotation(df: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame
 def ip_burst(df: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
     """Adds ``n_ip_requests`` and ``ip_burst`` to rows with an address; a rule of its own, outside the score."""
     x = df.withColumn("__ip", _value("user_ip"))
-    b = w.blocked(x, "__ip", cfg.ms("ip_burst_s")).withColumn("n_ip_requests", w.window_count("__ip", cfg.ms("ip_burst_s")))
+    b = w.with_windows(w.blocked(x, "__ip", cfg.ms("ip_burst_s")), "__ip", {"n_ip_requests": (F.lit(1), cfg.ms("ip_burst_s"))}, {})
     return w.unblocked(b).withColumn("ip_burst", F.col("n_ip_requests") > cfg.ip_burst_max).drop("__ip")
 
 

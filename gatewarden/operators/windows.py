@@ -4,8 +4,9 @@ The lower bound is inclusive. Rows of equal time are ordered by ``seq``: a row d
 it. Keys are cut into blocks of time that overlap by the longest window (the halo), so a key with a third
 of all rows is spread over tasks; all windows of a key share the one exchange by (key, block).
 
-Distinct counts come from a sweep (plus one where a value enters the window, minus one where it leaves),
-so no row collects its window.
+Sums and distinct counts come from a sweep: each row puts its values in at its time and takes them out
+when the window has passed, and one running sum over these marks, in order, gives all of a key's windows
+at once. So no row looks at its window again, and the cost does not depend on how full windows are.
 """
 
 from __future__ import annotations
@@ -33,44 +34,53 @@ def unblocked(df: DataFrame) -> DataFrame:
     return df.where(~F.col(HALO)).drop(BLOCK, HALO)
 
 
-def _range(key: str, window_ms: int):
+def window_range(key: str, window_ms: int):
+    """Frame of the window; it holds the later rows of equal time too."""
     return Window.partitionBy(key, BLOCK).orderBy("ts").rangeBetween(-window_ms, 0)
 
 
-def _peers(key: str):
-    return Window.partitionBy(key, BLOCK, "ts")
-
-
-def window_sum(key: str, value: Column, window_ms: int) -> Column:
-    """Sum of ``value`` over the window, without the later rows of equal time."""
-    over_all = F.sum(value).over(_range(key, window_ms))
-    peers = F.sum(value).over(_peers(key))
-    upto = F.sum(value).over(_peers(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return over_all - peers + upto
-
-
-def window_count(key: str, window_ms: int) -> Column:
-    return window_sum(key, F.lit(1), window_ms)
-
-
 def first_seen(key: str, value: str, window_ms: int) -> Column:
     """Whether the value did not occur in the window before this row."""
     before = F.lag("ts").over(Window.partitionBy(key, BLOCK, value).orderBy("ts", "seq"))
     return before.isNull() | (before < F.col("ts") - window_ms)
 
 
+def with_windows(df: DataFrame, key: str, sums: dict[str, tuple[Column, int]], distinct: dict[str, tuple[str, int]]) -> DataFrame:
+    """Adds sums (name: value, window) and distinct counts (name: column, window) in one sweep.
+
+    Null values add nothing. Columns of the row travel with the mark at its own time only.
+    """
+    for value in dict.fromkeys(v for v, _ in distinct.values()):
+        mine = Window.partitionBy(key, BLOCK, value).orderBy("ts", "seq")
+        df = df.withColumn(f"__before_{value}", F.lag("ts").over(mine)).withColumn(f"__after_{value}", F.lead("ts").over(mine))
+    entering, leaving = {}, {}
+    for name, (value, window) in sums.items():
+        entering[name] = F.coalesce(value.cast("bigint"), F.lit(0).cast("bigint"))
+        leaving.setdefault(window, {})[name] = -entering[name]
+    for name, (value, window) in distinct.items():
+        there, before, after = F.col(value).isNotNull(), F.col(f"__before_{value}"), F.col(f"__after_{value}")
+        enters = there & (before.isNull() | (before < F.col("ts") - window))
+        leaves = there & (after.isNull() | (after > F.col("ts") + window))
+        entering[name] = F.when(enters, 1).otherwise(0).cast("bigint")
+        leaving.setdefault(window, {})[name] = F.when(leaves, -1).otherwise(0).cast("bigint")
+    names = list(entering)
+    kept = [c for c in df.columns if not c.startswith(("__before_", "__after_"))]
+    row = F.struct(*[F.col(c) for c in kept])
+    nothing = F.when(F.lit(False), row)
+    zero = F.lit(0).cast("bigint")
+    marks = [F.struct(F.col("ts").alias("t"), F.col("seq").cast("bigint").alias("s"), *[entering[n].alias(n) for n in names], row.alias("row"))]
+    for window, parts in leaving.items():
+        marks.append(F.struct((F.col("ts") + window + 1).alias("t"), F.lit(-1).cast("bigint").alias("s"), *[parts.get(n, zero).alias(n) for n in names], nothing.alias("row")))
+    swept = df.select(F.col(key).alias("__key"), F.col(BLOCK).alias("__b"), F.explode(F.array(*marks)).alias("m"))
+    # marks that change nothing are not sorted
+    swept = swept.where(F.col("m.row").isNotNull() | F.greatest(*[F.abs(F.col(f"m.{n}")) for n in names], zero).cast("boolean"))
+    order = Window.partitionBy("__key", "__b").orderBy("m.t", "m.s").rowsBetween(Window.unboundedPreceding, 0)
+    return swept.select("m.row", *[F.sum(f"m.{n}").over(order).alias(f"__out_{n}") for n in names]).where("row is not null").select("row.*", *[F.col(f"__out_{n}").alias(n) for n in names])
+
+
 def with_distinct(df: DataFrame, key: str, value: str, window_ms: int, out: str) -> DataFrame:
     """Adds the number of distinct values in the window; null values do not count."""
-    mine = Window.partitionBy(key, BLOCK, value).orderBy("ts", "seq")
-    lived = df.withColumn("__before", F.lag("ts").over(mine)).withColumn("__after", F.lead("ts").over(mine))
-    there = F.col(value).isNotNull()
-    enters = there & (F.col("__before").isNull() | (F.col("__before") < F.col("ts") - window_ms))
-    leaves = there & (F.col("__after").isNull() | (F.col("__after") > F.col("ts") + window_ms))
-    row = F.struct(F.col("ts").alias("t"), F.col("seq").alias("s"), F.when(enters, 1).otherwise(0).alias("d"), F.lit(True).alias("r"))
-    end = F.struct((F.col("ts") + window_ms + 1).alias("t"), F.lit(-1).cast("bigint").alias("s"), F.lit(-1).alias("d"), F.lit(False).alias("r"))
-    marks = lived.withColumn("__m", F.explode(F.when(leaves, F.array(row, end)).otherwise(F.array(row))))
-    sweep = Window.partitionBy(key, BLOCK).orderBy("__m.t", "__m.s").rowsBetween(Window.unboundedPreceding, 0)
-    return marks.withColumn(out, F.sum("__m.d").over(sweep)).where("__m.r").drop("__before", "__after", "__m")
+    return with_windows(df, key, {}, {out: (value, window_ms)})
 
 
 def regular_cadence(key: str, window_ms: int, drift_ms: int, n: int = 4) -> Column:

@@ -16,7 +16,8 @@ def _event(seq, ts, session="s", ip="9.9.9.9", ua="Mozilla/5.0", country="US", a
 
 def test_counts_of_equal_times(spark):
     df = spark.createDataFrame([(i, t, "k") for i, t in enumerate((0, 1000, 1000, 61000))], "seq bigint, ts bigint, k string")
-    b = w.blocked(df, "k", 60_000).withColumn("n", w.window_count("k", 60_000))
+    b = w.blocked(df, "k", 60_000)
+    b = w.with_windows(b, "k", {"n": (F.lit(1), 60_000)}, {})
     assert [r.n for r in w.unblocked(b).orderBy("seq").collect()] == [1, 2, 3, 3]
 
 
@@ -24,13 +25,16 @@ def test_windows_against_brute_force(spark):
     r = random.Random(2)
     rows = [(i, i * 400 // 1000 * 1000 + r.randrange(2) * 0, r.choice("ab"), r.choice(["x", "y", "z", None])) for i in range(400)]
     df = spark.createDataFrame(rows, "seq bigint, ts bigint, k string, v string")
-    b = w.with_distinct(w.blocked(df, "k", 7000, 9000), "k", "v", 7000, "d").withColumns({"n": w.window_count("k", 7000), "f": w.first_seen("k", "v", 7000)})
+    b = w.blocked(df, "k", 7000, 9000).withColumn("f", w.first_seen("k", "v", 7000))
+    b = w.with_windows(b, "k", {"n": (F.lit(1), 7000), "short": (F.col("ts") % 7, 3000)}, {"d": ("v", 7000), "e": ("v", 2500)})
     got = {x.seq: x for x in w.unblocked(b).collect()}
     assert len(got) == len(rows)
     for s, t, k, v in rows:
         seen = [x for x in rows if x[2] == k and x[1] >= t - 7000 and (x[1], x[0]) <= (t, s)]
         assert got[s].n == len(seen)
         assert got[s].d == len({x[3] for x in seen} - {None})
+        assert got[s].short == sum(x[1] % 7 for x in seen if x[1] >= t - 3000)
+        assert got[s].e == len({x[3] for x in seen if x[1] >= t - 2500} - {None})
         assert got[s].f == (not any(x[3] == v and x[0] != s for x in seen))
 
 
