@@ -92,21 +92,11 @@ class Shard:
             at = self.masks.get(i)
             if at is None:
                 at = self.masks[i] = bitwise.masks(self.lines[i])
-            common = masked_lcs(at, size, words)
+            common = bitwise.masked_lcs(at, size, words)
             if common >= self.share * longer - 1e-9:
                 yield self.classes[i], common
 
 
-def masked_lcs(at: dict, size: int, words: list[str]) -> int:
-    full = row = (1 << size) - 1
-    get = at.get
-    for s in words:
-        u = row & get(s, 0)
-        if u:
-            row = ((row + u) | (row - u)) & full
-    return size - row.bit_count()
-
-
 def matching_classes(texts: DataFrame, share: float = 0.8, spare: int = 6, shard_rows: int = 8_000) -> DataFrame:
     """(train_class, eval_class, common, longer) of texts (class, line, n, in_train, in_eval)."""
     spark = texts.sparkSession
