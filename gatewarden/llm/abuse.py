@@ -29,8 +29,8 @@ from gatewarden.llm.records import bounded_sample
 WINDOW, STRIDE = 12, 6
 DIM, HIDDEN = 16, 12
 WORD_BUCKETS, GRAM_BUCKETS, GRAMS = 1 << 15, 1 << 15, 14
-SAMPLE_ROWS, FLAGGED_ROWS, NEGATIVES = 4000, 400, 28000
-THRESHOLD = 0.85
+SAMPLE_ROWS, FLAGGED_ROWS, NEGATIVES = 6000, 400, 32000
+THRESHOLD = 0.9
 MAX_ROWS = 120_000
 
 _HIDDEN = re.compile("[​-‏⁠﻿­️]")
@@ -325,8 +325,9 @@ class Scorer:
         return out
 
 
-def training_windows(ordinary: list[str], seed: int = 9) -> tuple[list[list[str]], list[int]]:
-    """Windows that hold an abusive sentence, set among ordinary words, and windows of ordinary and benign ones."""
+def training_windows(ordinary: list[str], seed: int = 9) -> tuple[list[list[str]], list[int], list[list[str]]]:
+    """Windows that hold an abusive sentence, set among ordinary words, and windows of ordinary and benign ones;
+    the ordinary windows beyond ``NEGATIVES`` apart."""
     r = random.Random(seed)
     memo: dict[str, str] = {}
     plain = [w for w in (words(t, memo) for t in ordinary) if w]
@@ -359,7 +360,7 @@ def training_windows(ordinary: list[str], seed: int = 9) -> tuple[list[list[str]
             w = w[a : a + r.randint(2, 8)]
         texts.append(w)
         labels.append(0)
-    return texts, labels
+    return texts, labels, [[x for x in w if x] for w in every[NEGATIVES:]]
 
 
 def telling_words(ordinary: list[list[str]]) -> set[str]:
@@ -379,7 +380,7 @@ def train(ordinary: list[str], flagged: list[str]) -> AbuseNet:
     (the judge missed them), and
     of each flagged text the worst window joins the abusive ones if it looks so and
     holds a telling word; flagged for other reasons, it does not."""
-    texts, labels = training_windows(ordinary)
+    texts, labels, rest = training_windows(ordinary)
     net = AbuseNet().fit(texts, np.array(labels, dtype=np.float32), epochs=2)
     scorer = Scorer(net)
     odd = scorer.score([" ".join(t) for t in texts])
@@ -387,6 +388,8 @@ def train(ordinary: list[str], flagged: list[str]) -> AbuseNet:
     first = len(texts) - min(NEGATIVES, len(texts))
     missed = [not labels[i] and i >= first and odd[i] >= 0.6 and len(telling.intersection(texts[i])) >= 2 for i in range(len(texts))]
     keep = [i for i, m in enumerate(missed) if not m]
+    # of the other ordinary windows, those that look abusive without a telling word teach the difference
+    confused = [w for w, q in zip(rest, scorer.score([" ".join(w) for w in rest])) if q > 0.2 and len(telling.intersection(w)) < 2]
     more, memo = [], {}
     for t in flagged:
         ws = words(t, memo)
@@ -396,8 +399,8 @@ def train(ordinary: list[str], flagged: list[str]) -> AbuseNet:
             i = int(s.argmax())
             if s[i] > 0.9 and telling.intersection(mine[i]):
                 more.append(mine[i])
-    texts = [texts[i] for i in keep] + more
-    labels = [labels[i] for i in keep] + [1] * len(more)
+    texts = [texts[i] for i in keep] + more + confused
+    labels = [labels[i] for i in keep] + [1] * len(more) + [0] * len(confused)
     return AbuseNet().fit(texts, np.array(labels, dtype=np.float32), epochs=5)
 
 
