@@ -28,7 +28,7 @@ NEVER_FINAL = {
 #: Abbreviations that may end a sentence, if a capital follows.
 MAY_END = "etc inc ltd corp co usw ltda jr bros st rd ave blvd ct"
 #: Abbreviations only before a number, names of months among them.
-BEFORE_NUMBER = "no nr nº núm num p pp vol ch art sec jan feb mar apr jun jul aug sep sept oct nov dec"
+BEFORE_NUMBER = "ap apto apdo no nr nº núm num p pp vol ch art sec jan feb mar apr jun jul aug sep sept oct nov dec"
 #: Months that a German ordinal stands before.
 MONTHS = "januar jänner februar märz april mai juni juli august september oktober november dezember"
 
@@ -140,6 +140,8 @@ def _full_stop_holds(text: str, start: int, low: int, after: int, follow: int, h
         return True
     if lower in _NUMERIC and (letter.isdigit() or lower in ("no", "nr") and re.match(r"[A-Z]{1,3}\d|\d", text[follow : follow + 4])):
         return True
+    if lower.endswith("str") and letter.isdigit():
+        return True  # a street
     if lower in _MAY_END:
         return not letter.isupper() or lower == "co" and text.startswith("KG", follow)
     return False

@@ -62,6 +62,7 @@ def test_bpe_table(spark):
         ["Фирма X, т. е. бывшая Y, и т. д. по списку.", "Ну... кто это?"],
         ["It opens at 9 a.m.", "Only then we go, etc.", "Done.🎉", "Next (see Fig. 3. It is short.) one."],
         ["“Is it safe? I doubt it!” wrote a reader.", "He promised “no more.”", "Fine."],
+        ["Moro na rua do Moinho, 94, ap. 3, Vila Serrana.", "Lena Q., Lindenfeldstr. 174, 02011 Neuhavel, tel. +49 30 23125 490.", "Я живу на ул. Мельничная, д. 8, кв. 3, г. Старогорск.", "Дальше."],
         ["क्र. 57 को 28.21 अंक मिले।", "अगला वाक्य।"],
     ],
 )
