@@ -8,7 +8,9 @@ import unicodedata
 #: Scripts written without spaces, whose characters count one by one: Thai, Kana and Han.
 SOLID = "฀-๿぀-ヿ㐀-䶿一-鿿豈-﫿"
 _SOLID = re.compile(f"[{SOLID}]")
-_TOKENS = re.compile(rf"[{SOLID}]|[^\W_{SOLID}]+")
+#: Vowel signs and other marks inside words of Indic scripts.
+_SIGNS = "ऀ-ःऺ-़ा-ॏ॑-ॗॢॣ"
+_TOKENS = re.compile(rf"[{SOLID}]|[^\W_{SOLID}](?:[^\W_{SOLID}]|[{_SIGNS}])*")
 _MARKS = re.compile("[̀-ͯ҃-҉ؐ-ًؚ-ٰٟ​-‏‪-‮⁠-⁤﻿­ـ︀-️]")
 
 

@@ -304,6 +304,7 @@ def test_abuse_tables(spark, net):
 
 def test_folding():
     assert tokens("Ｃafé​, DÉJÀ-vu 12 日本x") == ["cafe", "deja", "vu", "12", "日", "本", "x"]
+    assert tokens("तुलना कीजिए, ज़िक्र") == ["तुलना", "कीजिए", "ज़िक्र"]
 
 
 def test_bounded_sample(spark):
