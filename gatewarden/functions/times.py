@@ -31,6 +31,11 @@ def iso_timestamp(c: Column) -> Column:
     return F.when(ok, F.concat(whole, zone).try_cast("timestamp"))
 
 
+def iso_text(c: Column, default: str = "2023-01-01T00:00:00+00:00") -> Column:
+    """ISO text of a time in UTC; the default for a text that cannot be read."""
+    return F.coalesce(F.date_format(iso_timestamp(c), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), F.lit(default))
+
+
 def epoch_ms(c: Column) -> Column:
     return F.unix_millis(c.cast("timestamp"))
 

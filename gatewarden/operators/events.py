@@ -19,6 +19,11 @@ def parse_json(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn("event", parsed).withColumn("parse_error", F.when(F.col("event").isNull(), "invalid_json").when(~kind.startswith("OBJECT"), "invalid_event_type"))
 
 
+def maybe_json(c: Column) -> Column:
+    """VARIANT of a text that holds a JSON object or array; null for any other text."""
+    return F.when(strip(c).rlike(r"^[\[{]"), F.try_parse_json(c))
+
+
 def text_at(path: str, event: str = "event", default: str | None = "") -> Column:
     got = F.try_variant_get(F.col(event), path, "string")
     return F.coalesce(got, F.lit(default)) if default is not None else got

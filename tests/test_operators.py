@@ -182,3 +182,11 @@ def test_turns(spark):
     conv = "array<struct<role: string, content: string>>"
     df = spark.createDataFrame([(1, [("user", "hi"), ("assistant", "x"), (None, "yo"), ("user", " ")]), (2, []), (3, None)], f"i int, conversation {conv}")
     assert [(r.i, r.turn, r.content) for r in events.turns(df, "conversation").orderBy("i", "turn").collect()] == [(1, 0, "hi"), (1, 2, "yo")]
+
+
+def test_cells_and_times(spark):
+    from gatewarden.functions.times import iso_text
+
+    df = spark.createDataFrame([('[{"role": "user"}]', "2024-03-01 02:00:00+02:00"), ("text", "soon"), ("{bad", None), (None, "2024-03-01")], "c string, t string")
+    got = df.select(F.try_variant_get(events.maybe_json(F.col("c")), "$[0].role", "string").alias("r"), iso_text(F.col("t")).alias("t")).collect()
+    assert [tuple(r) for r in got] == [("user", "2024-03-01T00:00:00+00:00"), (None, "2023-01-01T00:00:00+00:00"), (None, "2023-01-01T00:00:00+00:00"), (None, "2024-03-01T00:00:00+00:00")]
