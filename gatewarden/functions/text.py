@@ -37,8 +37,12 @@ def first_non_empty(*cs: Column, default: str | None = None) -> Column:
 
 def normalise(c: Column) -> Column:
     """Lower case, look-alike digits as letters, punctuation as spaces, single spaces."""
-    folded = F.translate(F.lower(c), LEET_DIGITS, LEET_LETTERS)
-    return collapse_space(F.regexp_replace(folded, r"\p{P}", " "))
+    return fold_marks(F.lower(c))
+
+
+def fold_marks(c: Column) -> Column:
+    """Look-alike digits as letters, punctuation as spaces, single spaces; case stays."""
+    return collapse_space(F.regexp_replace(F.translate(c, LEET_DIGITS, LEET_LETTERS), r"\p{P}", " "))
 
 
 def padded(c: Column) -> Column:

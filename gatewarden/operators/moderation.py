@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatewarden import config
-from gatewarden.functions.text import normalise, padded, term_hit
+from gatewarden.functions.text import fold_marks, padded, term_hit
 
 
 def compatibility_form(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -23,7 +23,7 @@ def compatibility_form(df: DataFrame, column: str, out: str) -> DataFrame:
         return s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 
     plain = low.rlike(r"^\p{ASCII}*$")
-    return df.withColumn("__n", nfkc(F.when(~plain, low))).withColumn(out, normalise(F.coalesce("__n", low))).drop("__n")
+    return df.withColumn("__n", nfkc(F.when(~plain, low))).withColumn(out, fold_marks(F.coalesce("__n", low))).drop("__n")
 
 
 def hits(normalised: Column, terms: tuple[str, ...] = config.TERMS) -> Column:

@@ -460,14 +460,39 @@ _ASCII = "regexp_full_match(coalesce(text, ''), '[\\x00-\\x7F]*')"
 _TERMS = ("search panel", "night desk", "standing desk", "shown times", "link offer", "score of")
 
 
+def _all_docs(spark, folder):
+    return table(spark, folder, "documents").select("doc_id", "text")
+
+
 def _ascii_docs(spark, folder):
-    """ASCII documents: on other texts SQL has no compatibility form to compare with."""
-    return table(spark, folder, "documents").where(F.coalesce("text", F.lit("")).rlike(r"^\p{ASCII}*$")).select("doc_id", "text")
+    """ASCII documents: on other texts SQL has no compatibility form to compare with.
+
+    Only the four queries with SQL below are cut so; ``*_all`` are the same operators over all documents.
+    """
+    return _all_docs(spark, folder).where(F.coalesce("text", F.lit("")).rlike(r"^\p{ASCII}*$"))
+
+
+def _normalized(docs):
+    return moderation.compatibility_form(docs, "text", "n").select("doc_id", "n")
+
+
+def _hits(docs):
+    return _normalized(docs).select("doc_id", F.array_join(moderation.hits(F.col("n"), _TERMS), ",").alias("hits"))
+
+
+def _verdict(docs):
+    d = _normalized(docs).withColumn("score", moderation.hit_score(moderation.hits(F.col("n"), _TERMS)))
+    return d.select("doc_id", "score", F.when(F.col("score") >= 0.01, "unsafe").otherwise("clean").alias("verdict"))
+
+
+def _categories(docs):
+    d = _normalized(docs).withColumn("c", moderation.categories(F.col("n"), _WORDS))
+    return d.select("doc_id", F.array_join("c", ",").alias("categories"), moderation.category_score(F.col("c")).alias("score"))
 
 
 @query(f"select doc_id, {_N('text')} as n from documents where {_ASCII}")
 def text_normalize(spark, folder):
-    return moderation.compatibility_form(_ascii_docs(spark, folder), "text", "n").select("doc_id", "n")
+    return _normalized(_ascii_docs(spark, folder))
 
 
 _HITS = ", ".join(f"case when regexp_matches(n, '(^| ){a}( \\S+)? {b}( |$)') then '{a} {b}' end" for a, b in (t.split() for t in sorted(_TERMS)))
@@ -475,14 +500,12 @@ _HITS = ", ".join(f"case when regexp_matches(n, '(^| ){a}( \\S+)? {b}( |$)') the
 
 @query(f"with t as (select doc_id, {_N('text')} as n from documents where {_ASCII}) select doc_id, concat_ws(',', {_HITS}) as hits from t")
 def moderation_hits(spark, folder):
-    d = moderation.compatibility_form(_ascii_docs(spark, folder), "text", "n")
-    return d.select("doc_id", F.array_join(moderation.hits(F.col("n"), _TERMS), ",").alias("hits"))
+    return _hits(_ascii_docs(spark, folder))
 
 
 @query(f"with t as (select doc_id, {_N('text')} as n from documents where {_ASCII}), h as (select doc_id, len(list_filter([{_HITS}], lambda x: x is not null)) as k from t) select doc_id, least(k / 10.0, 1)::double as score, case when least(k / 10.0, 1) >= 0.01 then 'unsafe' else 'clean' end as verdict from h")
 def moderation_verdict(spark, folder):
-    d = moderation.compatibility_form(_ascii_docs(spark, folder), "text", "n").withColumn("score", moderation.hit_score(moderation.hits(F.col("n"), _TERMS)))
-    return d.select("doc_id", "score", F.when(F.col("score") >= 0.01, "unsafe").otherwise("clean").alias("verdict"))
+    return _verdict(_ascii_docs(spark, folder))
 
 
 _WORDS = {"DESK": "standing desk|folding desk lamp|night desk", "FEED": "partner feed|news digest", "NSFW": "nude|porn"}
@@ -491,8 +514,27 @@ _CATS = ", ".join(f"case when {' or '.join(f'contains(n, $$ {k} $$)' for k in v.
 
 @query(f"with t as (select doc_id, ' ' || {_N('text')} || ' ' as n from documents where {_ASCII}) select doc_id, concat_ws(',', {_CATS}) as categories, round(least(len(list_filter([{_CATS}], lambda x: x is not null)) * 0.15, 1), 3)::double as score from t")
 def keyword_categories(spark, folder):
-    d = moderation.compatibility_form(_ascii_docs(spark, folder), "text", "n").withColumn("c", moderation.categories(F.col("n"), _WORDS))
-    return d.select("doc_id", F.array_join("c", ",").alias("categories"), moderation.category_score(F.col("c")).alias("score"))
+    return _categories(_ascii_docs(spark, folder))
+
+
+@query()
+def text_normalize_all(spark, folder):
+    return _normalized(_all_docs(spark, folder))
+
+
+@query()
+def moderation_hits_all(spark, folder):
+    return _hits(_all_docs(spark, folder))
+
+
+@query()
+def moderation_verdict_all(spark, folder):
+    return _verdict(_all_docs(spark, folder))
+
+
+@query()
+def keyword_categories_all(spark, folder):
+    return _categories(_all_docs(spark, folder))
 
 
 @query()
