@@ -562,7 +562,7 @@ def rfc_features(spark, folder):
 def rf_train_score(spark, folder):
     rows = _features(spark, folder).dropDuplicates(["req_id"])
     marked = history.stratified_split(rows, "req_id", "is_fraud")
-    model = features.train(marked.where("is_train"), trees=20, depth=6)
+    model = features.train(marked.where("is_train"))
     scored = features.score(model, marked.where("not is_train"))
     return evaluate.confusion(scored, F.col("model_verdict") == "fraud", F.col("is_fraud") == 1)
 
