@@ -163,8 +163,12 @@ class LanguageModel:
         conf = 1 / (1 + np.exp(-margin / 2))
         out = []
         for (words, script, size), b, c, k in zip(parts, best.tolist(), conf.tolist(), known.tolist()):
-            if script and size > k:
-                out.append((script, min(1.0, 0.5 + size / 12), max(1, round(size))))
+            share = 0.0
+            if script:
+                letters = size * SCRIPTS[script][1]
+                share = letters / (letters + sum(map(len, words)))
+            if script and (size > k or share > 0.5):
+                out.append((script, max(share, min(1.0, 0.5 + size / 12)), max(1, round(size))))
             elif k < 2:
                 out.append((None, 0.0, len(words)))
             else:
@@ -193,7 +197,11 @@ class LanguageModel:
         return result
 
     def detect(self, texts: list[str], sure: float = 0.9, least_words: int = 3) -> list[tuple[str | None, float, list[str]]]:
-        """(language of most words, its share of them as confidence, languages of at least one sure sentence) of each text."""
+        """(language of most words, its share of them as confidence, languages of at least one sure sentence) of each text.
+
+        A sentence in the script of one language is sure by its share of the letters, however short; one in
+        Latin script needs ``least_words`` telling words.
+        """
         spans, scored = self._cut(texts)
         result = []
         for text, bs in zip(texts, spans):
@@ -203,7 +211,7 @@ class LanguageModel:
                 code, conf, size = next(scored)
                 if code:
                     sizes[code] = sizes.get(code, 0.0) + size * conf
-                    if conf >= sure and size >= least_words:
+                    if conf >= sure and (size >= least_words or code in SCRIPTS):
                         firm[code] = None
             if sizes:
                 code = max(sizes, key=sizes.get)
@@ -237,9 +245,8 @@ class _Rows(dict):
         return self.built
 
     def telling(self) -> np.ndarray:
-        t = self.table().min(1, initial=0.0) < -1
-        t[self.known :] = False
-        return t
+        """Words that speak against some language; of an unknown one, by its n-grams."""
+        return self.table().min(1, initial=0.0) < -1
 
 
 def split(text: str) -> list[str]:
