@@ -26,12 +26,14 @@ from gatewarden.llm import abuse_examples as ex
 from gatewarden.llm.broadcasts import bounded
 from gatewarden.llm.records import bounded_sample
 
-WINDOW, STRIDE = 12, 6
+WINDOW = 12
 DIM, HIDDEN = 16, 12
-WORD_BUCKETS, GRAM_BUCKETS, GRAMS = 1 << 15, 1 << 15, 14
+WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 15
 SAMPLE_ROWS, FLAGGED_ROWS, NEGATIVES = 6000, 400, 32000
 THRESHOLD = 0.9
 MAX_ROWS = 120_000
+#: Windows scored at a time, a text's own at least.
+MAX_WINDOWS = 200_000
 
 _HIDDEN = re.compile("[​-‏⁠﻿­️]")
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
@@ -101,19 +103,17 @@ def words(text: str, memo: dict[str, str]) -> list[str]:
 
 
 def grams(word: str) -> list[int]:
-    """Buckets of the word's character 2- to 4-grams, the first ``GRAMS`` of them, 1-based."""
+    """Buckets of all character 2- to 4-grams of the word, 1-based."""
     p = f"^{word}$"
-    out = [zlib.crc32(p[i : i + n].encode()) % GRAM_BUCKETS + 1 for n in (3, 4, 2) for i in range(len(p) - n + 1)]
-    return out[:GRAMS]
+    return [zlib.crc32(p[i : i + n].encode()) % GRAM_BUCKETS + 1 for n in (3, 4, 2) for i in range(len(p) - n + 1)]
 
 
 def windows(ids: list[int]) -> list[list[int]]:
-    """All windows of ``WINDOW`` words, ``STRIDE`` apart, the last one at the end; a short text is one, padded with 0."""
+    """All windows of ``WINDOW`` words, one at every start; a short text is one, padded with 0."""
     n = len(ids)
     if n <= WINDOW:
         return [ids + [0] * (WINDOW - n)]
-    starts = list(range(0, n - WINDOW, STRIDE)) + [n - WINDOW]
-    return [ids[s : s + WINDOW] for s in starts]
+    return [ids[s : s + WINDOW] for s in range(n - WINDOW + 1)]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -144,17 +144,14 @@ class AbuseNet:
         return zlib.crc32(word.encode()) % WORD_BUCKETS + 1
 
     def vectors(self, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word buckets, gram buckets, 1 / number of grams) of words; index 0 is padding."""
+        """(word buckets, gram buckets of all words in a row, number of grams of each) of words; index 0 is padding."""
         b = np.array([0] + [self.bucket(w) for w in vocabulary])
-        g = np.zeros((len(vocabulary) + 1, GRAMS), dtype=np.int64)
-        for i, w in enumerate(vocabulary, 1):
-            x = grams(w)
-            g[i, : len(x)] = x
-        n = np.maximum(1, (g > 0).sum(1)).astype(np.float32)
-        return b, g, 1 / n
+        lists = [[0], *map(grams, vocabulary)]
+        return b, np.fromiter((x for g in lists for x in g), dtype=np.int64), np.array([len(g) for g in lists])
 
-    def embed(self, b: np.ndarray, g: np.ndarray, inv: np.ndarray) -> np.ndarray:
-        return self.p["word"][b] + self.p["gram"][g].sum(1) * inv[:, None]
+    def embed(self, b: np.ndarray, g: np.ndarray, n: np.ndarray) -> np.ndarray:
+        sums = np.add.reduceat(self.p["gram"][g], np.cumsum(n) - n, axis=0)
+        return self.p["word"][b] + sums / n[:, None].astype(np.float32)
 
     # ---- passes ----
 
@@ -213,7 +210,8 @@ class AbuseNet:
         """Train on windows of words with labels 0 or 1 (cross-entropy, Adam)."""
         vocabulary = sorted({w for t in texts for w in t})
         at = {w: i for i, w in enumerate(vocabulary, 1)}
-        b, g, inv = self.vectors(vocabulary)
+        b, g, n = self.vectors(vocabulary)
+        begin = np.cumsum(n) - n
         ids = np.zeros((len(texts), WINDOW), dtype=np.int64)
         for i, t in enumerate(texts):
             ids[i, : len(t)] = [at[w] for w in t[:WINDOW]]
@@ -227,7 +225,9 @@ class AbuseNet:
                 x = np.where(r.random(x.shape) < 0.04, 0, x)  # words left out, so that no single one decides
                 used, where = np.unique(x, return_inverse=True)
                 where = where.reshape(x.shape)
-                e = self.embed(b[used], g[used], inv[used])
+                size = n[used]
+                mine = g[np.repeat(begin[used] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+                e = self.embed(b[used], mine, size)
                 mask = (x.T > 0).astype(np.float32)
                 xin = e[where.T]
                 cache: dict = {}
@@ -241,9 +241,9 @@ class AbuseNet:
                 rw, at_w = np.unique(b[used], return_inverse=True)
                 gw = np.zeros((len(rw), DIM), dtype=np.float32)
                 np.add.at(gw, at_w, de)
-                rg, at_g = np.unique(g[used], return_inverse=True)
+                rg, at_g = np.unique(mine, return_inverse=True)
                 gg = np.zeros((len(rg), DIM), dtype=np.float32)
-                np.add.at(gg, at_g.ravel(), np.repeat(de * inv[used][:, None], GRAMS, axis=0))
+                np.add.at(gg, at_g, np.repeat(de / size[:, None].astype(np.float32), size, axis=0))
                 gw[rw == 0], gg[rg == 0] = 0, 0
                 for k, d, rows in [*((k, d, slice(None)) for k, d in grads.items()), ("word", gw, rw), ("gram", gg, rg)]:
                     m, v = moments[k]
@@ -285,8 +285,8 @@ class Scorer:
         self.table = np.concatenate([p["bf"], p["bb"]])[None, :].astype(np.float32)
 
     def _learn(self, fresh: list[str]) -> None:
-        b, g, inv = self.net.vectors(fresh)
-        e = self.net.embed(b, g, inv)[1:]
+        b, g, n = self.net.vectors(fresh)
+        e = self.net.embed(b, g, n)[1:]
         p = self.net.p
         self.table = np.concatenate([self.table, np.concatenate([e @ p["wf"] + p["bf"], e @ p["wb"] + p["bb"]], axis=1)])
         for w in fresh:
@@ -301,17 +301,26 @@ class Scorer:
         if fresh:
             self._learn(fresh)
         row = self.rows.__getitem__
-        flat: list[list[int]] = []
+        out = np.zeros(len(texts), dtype=np.float64)
+        parts: list[np.ndarray] = []
         owner: list[int] = []
+        held = 0
         for i, ws in enumerate(cut):
             if ws:
-                mine = windows(list(map(row, ws)))
-                flat += mine
-                owner += [i] * len(mine)
-        out = np.zeros(len(texts), dtype=np.float64)
-        if not flat:
-            return out
-        ids = np.array(flat, dtype=np.int64)
+                ids = np.zeros(max(WINDOW, len(ws)), dtype=np.int32)
+                ids[: len(ws)] = list(map(row, ws))
+                parts.append(np.lib.stride_tricks.sliding_window_view(ids, WINDOW))
+                owner.append(i)
+                held += len(parts[-1])
+            if held >= MAX_WINDOWS:
+                np.maximum.at(out, np.repeat(owner, [len(x) for x in parts]), self._windows(np.concatenate(parts), chunk))
+                parts, owner, held = [], [], 0
+        if parts:
+            np.maximum.at(out, np.repeat(owner, [len(x) for x in parts]), self._windows(np.concatenate(parts), chunk))
+        return out
+
+    def _windows(self, ids: np.ndarray, chunk: int) -> np.ndarray:
+        """Score of each window of rows of the table; equal windows are computed once."""
         mix = np.random.default_rng(1).integers(1, 1 << 62, WINDOW, dtype=np.uint64) | np.uint64(1)
         key = ((ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * mix).sum(1, dtype=np.uint64)
         _, first, back = np.unique(key, return_index=True, return_inverse=True)
@@ -321,8 +330,7 @@ class Scorer:
             part = once[a : a + chunk].T
             x = self.table[part]
             p[a : a + chunk] = self.net.score(x[:, :, : 3 * HIDDEN], x[:, :, 3 * HIDDEN :], (part > 0).astype(np.float32))
-        np.maximum.at(out, np.array(owner), p[back.ravel()])
-        return out
+        return p[back.ravel()]
 
 
 def training_windows(ordinary: list[str], seed: int = 9) -> tuple[list[list[str]], list[int], list[list[str]]]:

@@ -1,0 +1,29 @@
+"""Every start of a window and every n-gram of a word counts."""
+
+import numpy as np
+
+from gatewarden.llm import abuse
+
+
+def test_every_start_is_a_window():
+    ids = list(range(1, 41))
+    assert abuse.windows(ids) == [ids[s : s + abuse.WINDOW] for s in range(29)]
+
+
+def test_words_are_read_to_their_end():
+    long = "donaudampfschifffahrtsgesellschaft"
+    assert len(abuse.grams(long)) == 3 * len(long)
+    assert set(abuse.grams(long)) != set(abuse.grams(long[:-4] + "idiot"))
+
+
+def test_score_is_that_of_the_worst_of_all_windows():
+    net = abuse.AbuseNet(seed=3)
+    for k in ("word", "gram"):
+        net.p[k] *= 60
+    r = np.random.default_rng(2)
+    texts = [" ".join(f"{chr(97 + x % 26)}{chr(97 + x // 26)}ord" for x in r.integers(0, 300, n)) for n in (5, 12, 13, 47, 90)]
+    got = abuse.Scorer(net).score(texts)
+    for text, score in zip(texts, got):
+        ws = text.split()
+        each = [abuse.Scorer(net).score([" ".join(ws[s : s + abuse.WINDOW])])[0] for s in range(max(1, len(ws) - abuse.WINDOW + 1))]
+        assert abs(max(each) - score) < 1e-5
