@@ -11,14 +11,14 @@ from gatewarden.llm.records import records
 from gatewarden.tables import table
 
 
-def _abuse_scores(spark: SparkSession, folder: str) -> DataFrame:
+def _abuse_scores(spark: SparkSession, folder: str, unnamed: bool = True) -> DataFrame:
     rows = records(spark, folder)
     net = abuse.fit_on(rows, abuse.verdicts_of(table(spark, folder, "moderated_requests")))
-    return abuse.score_table(rows, net)
+    return abuse.score_table(records(spark, folder, unnamed), net)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _abuse_scores(spark, folder).where(F.col("score") >= abuse.THRESHOLD).select("origin", "record_id").distinct()
+    return _abuse_scores(spark, folder, unnamed=False).where(F.col("score") >= abuse.THRESHOLD).select("origin", "record_id").distinct()
 
 
 def p1_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,7 +69,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
     rows = records(spark, folder)
-    return pii.redacted_table(rows, pii.fit_on(rows))
+    return pii.redacted_table(records(spark, folder, unnamed=True), pii.fit_on(rows))
 
 
 def _labeled(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,14 +9,17 @@ from gatewarden.functions.text import clean_id
 from gatewarden.tables import table
 
 
-def records(spark: SparkSession, folder: str) -> DataFrame:
+def records(spark: SparkSession, folder: str, unnamed: bool = False) -> DataFrame:
     """Every delivery with a named message, and every document, without a shuffle.
 
     A message delivered several times comes several times: results are made distinct by record, which
-    moves the few results in place of the texts. Rows with a blank req_id or a null text are left out.
+    moves the few results in place of the texts. Rows with a null text are left out, and those with a
+    blank req_id unless ``unnamed`` asks for them: their record_id is ``delivery:`` and the delivery_id.
     """
+    own = clean_id(F.col("req_id"))
+    name = F.coalesce(own, F.concat(F.lit("delivery:"), F.col("delivery_id").cast("string"))) if unnamed else own
     requests = table(spark, folder, "raw_requests").select(
-        F.lit("request").alias("origin"), clean_id(F.col("req_id")).alias("record_id"), F.col("prompt").alias("text"),
+        F.lit("request").alias("origin"), name.alias("record_id"), F.col("prompt").alias("text"),
         F.col("language").alias("label"), F.lit(None).cast("string").alias("source"), clean_id(F.col("publisher_id")).alias("publisher_id"),
     ).where("record_id is not null and text is not null")
     documents = table(spark, folder, "documents").select(
