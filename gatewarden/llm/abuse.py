@@ -1,20 +1,23 @@
 """Scores for abusive, hateful or sexual text: a bidirectional gated recurrent network with attention.
 
-A text becomes words (characters in scripts without spaces) after the usual disguises are undone. A
-word's input is its own vector plus the mean of the vectors of its character n-grams, so unseen and
-misspelled words have one too. All overlapping windows of the text run through a gated recurrent
-network in both directions, attention pools the states, and the text's score is that of its worst
-window. Everything is numpy: training by back-propagation with Adam on the driver, over a bounded
-number of windows, and scoring in batches in which equal windows are computed once.
+A text becomes words (pairs of characters in scripts without spaces) after the usual disguises are
+undone. A word's input is its own vector plus the mean of the vectors of its character n-grams, so
+unseen and misspelled words have one too. A gated recurrent network runs over the text in both
+directions, once; attention pools its states within every window of 12 words, one at each start, and
+the text's score is that of its worst window. Everything is numpy: training by back-propagation with
+Adam on the driver, over a bounded number of stretches, and scoring in batches of like length.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,19 +29,21 @@ from gatewarden.llm import abuse_examples as ex
 from gatewarden.llm.broadcasts import bounded
 from gatewarden.llm.records import bounded_sample
 
-WINDOW = 12
-DIM, HIDDEN = 16, 12
+#: Words of a window, of a stretch that the network runs over at once, and around a window in it.
+WINDOW, SEGMENT, HALO = 12, 60, 8
+DIM, HIDDEN = 20, 16
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 15
-SAMPLE_ROWS, FLAGGED_ROWS, NEGATIVES = 6000, 400, 32000
-THRESHOLD = 0.9
+SAMPLE_ROWS, FLAGGED_ROWS, NEGATIVES = 12000, 1500, 14000
+THRESHOLD = 0.5
 MAX_ROWS = 120_000
-#: Windows scored at a time, a text's own at least.
-MAX_WINDOWS = 200_000
+#: Words scored at a time.
+MAX_WORDS = 200_000
 
 _HIDDEN = re.compile("[​-‏⁠﻿­️]")
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 _SOLID = "฀-๿぀-ヿ㐀-鿿"
 _GAP = re.compile(rf"(?<=[{_SOLID}])[ .*_-](?=[{_SOLID}])")
+_ONE_SOLID = re.compile(f"[{_SOLID}]")
 _TOKEN = re.compile(rf"[{_SOLID}]|[^\W_{_SOLID}][^\s{_SOLID}]*")
 _JOINED = re.compile(r"^[^\W\d_](?:([-_.*])[^\W\d_])(?:\1[^\W\d_])+$")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_] ){3,}[^\W\d_](?![^\W_])")
@@ -88,6 +93,8 @@ def words(text: str, memo: dict[str, str]) -> list[str]:
         t = _SPACED.sub(lambda m: m.group().replace(" ", ""), t)
     out = []
     tokens = t.split() if t.isascii() else _TOKEN.findall(t)
+    if not t.isascii():
+        tokens = [k + tokens[i + 1] if _ONE_SOLID.fullmatch(k) and i + 1 < len(tokens) and _ONE_SOLID.fullmatch(tokens[i + 1]) else k for i, k in enumerate(tokens)]
     for k in tokens:
         w = memo.get(k)
         if w is None:
@@ -102,24 +109,55 @@ def words(text: str, memo: dict[str, str]) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=200_000)
 def grams(word: str) -> list[int]:
     """Buckets of all character 2- to 4-grams of the word, 1-based."""
     p = f"^{word}$"
     return [zlib.crc32(p[i : i + n].encode()) % GRAM_BUCKETS + 1 for n in (3, 4, 2) for i in range(len(p) - n + 1)]
 
 
-def windows(ids: list[int]) -> list[list[int]]:
-    """All windows of ``WINDOW`` words, one at every start; a short text is one, padded with 0."""
-    n = len(ids)
-    if n <= WINDOW:
-        return [ids + [0] * (WINDOW - n)]
-    return [ids[s : s + WINDOW] for s in range(n - WINDOW + 1)]
+def segments(n: int) -> list[tuple[int, int]]:
+    """(start, end) of the overlapping stretches of a text of n words that the network runs over.
+
+    Every window of ``WINDOW`` words lies within one with at least ``HALO`` words (or the text's end) on
+    either side, so that the states of a window know what stands around it.
+    """
+    if n <= SEGMENT:
+        return [(0, n)]
+    step = SEGMENT - 2 * HALO - WINDOW + 1
+    return [(max(0, s - HALO), min(n, s - HALO + SEGMENT)) for s in range(0, n - WINDOW + 1, step)]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _sums(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the rows of ``values`` by index 0..n-1, each of which occurs."""
+    order = np.argsort(index, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(index, minlength=n))[:-1]])
+    return np.add.reduceat(values[order], starts, axis=0)
+
+
+def _sliding(x: np.ndarray) -> np.ndarray:
+    """Sums of x (T, B) over all windows of ``WINDOW`` rows, or of all rows if there are fewer."""
+    c = np.cumsum(x, axis=0)
+    if len(x) <= WINDOW:
+        return c[-1:]
+    out = c[WINDOW - 1 :].copy()
+    out[1:] -= c[:-WINDOW]
+    return out
+
+
+def _spread(x: np.ndarray, steps: int) -> np.ndarray:
+    """For each of ``steps`` rows the sum of x (S, B) over the windows that hold the row."""
+    c = np.zeros((steps + 1, x.shape[1]), dtype=x.dtype)
+    c[: len(x)] += x
+    width = min(WINDOW, steps)
+    c[width : width + len(x)] -= x
+    return np.cumsum(c, axis=0)[:steps]
+
+
 class AbuseNet:
     """Parameters and passes of the network."""
 
@@ -174,20 +212,26 @@ class AbuseNet:
             states[t] = h
         return states
 
-    def score(self, xf: np.ndarray, xb: np.ndarray, mask: np.ndarray, cache: dict | None = None) -> np.ndarray:
-        """Probability of each window from projected inputs (T, B, 3H) and mask (T, B)."""
+    def logits(self, xf: np.ndarray, xb: np.ndarray, mask: np.ndarray, cache: dict | None = None) -> np.ndarray:
+        """Logit of every window (S, B), one at every start, from projected inputs (T, B, 3H) and mask (T, B).
+
+        The states are computed once; attention pools them within each window. Windows that begin so
+        that they reach into the padding of a longer text get -30.
+        """
         steps = range(len(xf))
         kf, kb = ([], []) if cache is not None else (None, None)
         hs = np.concatenate([self._run(xf, mask, self.p["uf"], steps, kf), self._run(xb, mask, self.p["ub"], reversed(steps), kb)], axis=2)
         a = np.tanh(hs @ self.p["att"])
-        e = a @ self.p["av"] + (mask - 1) * 1e4
-        e = np.exp(e - e.max(0))
-        w = e / e.sum(0)
-        pooled = (w[:, :, None] * hs).sum(0)
-        p = _sigmoid(pooled @ self.p["out"] + self.p["bias"])
+        e = a @ self.p["av"]
+        w = np.exp(np.clip(e, -4, 4)) * mask
+        v = hs @ self.p["out"]
+        total, weighted = _sliding(w) + 1e-6, _sliding(w * v)
+        raw = weighted / total
+        sizes = mask.sum(0)
+        valid = np.arange(len(raw))[:, None] <= np.maximum(0, sizes - WINDOW)[None, :]
         if cache is not None:
-            cache.update(hs=hs, a=a, w=w, pooled=pooled, p=p, kf=kf, kb=kb)
-        return p
+            cache.update(hs=hs, a=a, e=e, w=w, v=v, total=total, raw=raw, kf=kf, kb=kb, mask=mask)
+        return np.where(valid, raw + self.p["bias"], np.float32(-30))
 
     def _back(self, dh_all: np.ndarray, keep: list, u: np.ndarray, shape) -> tuple[np.ndarray, np.ndarray]:
         du, dx = np.zeros_like(u), np.zeros(shape, dtype=np.float32)
@@ -206,66 +250,88 @@ class AbuseNet:
             dh = dh - dn * z + drh * r + dg @ uz.T
         return dx, du
 
-    def fit(self, texts: list[list[str]], labels: np.ndarray, epochs: int = 6, batch: int = 256, rate: float = 4e-3, seed: int = 3) -> AbuseNet:
-        """Train on windows of words with labels 0 or 1 (cross-entropy, Adam)."""
+    def fit(self, texts: list[list[str]], labels: np.ndarray, cores: list[tuple[int, int]] | None = None, epochs: int = 3, batch: int = 192, rate: float = 4e-3, seed: int = 3) -> AbuseNet:
+        """Train on stretches of at most ``SEGMENT`` words with labels 0 or 1 (cross-entropy, Adam).
+
+        ``cores`` are the words (start, end) that make a stretch abusive: the windows that hold the core, or
+        lie within it, are pulled up. Of an ordinary stretch all windows are pulled down, the highest the most.
+        """
+        cores = cores or [(0, len(t)) for t in texts]
         vocabulary = sorted({w for t in texts for w in t})
         at = {w: i for i, w in enumerate(vocabulary, 1)}
         b, g, n = self.vectors(vocabulary)
         begin = np.cumsum(n) - n
-        ids = np.zeros((len(texts), WINDOW), dtype=np.int64)
-        for i, t in enumerate(texts):
-            ids[i, : len(t)] = [at[w] for w in t[:WINDOW]]
+        sizes = np.array([min(len(t), SEGMENT) for t in texts])
+        rows = [[at[w] for w in t[:SEGMENT]] for t in texts]
         r = np.random.default_rng(seed)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         step, total = 0, epochs * max(1, len(texts) // batch)
-        weight = np.where(labels > 0, 1.5, 1.0).astype(np.float32)
         for _ in range(epochs):
-            for chunk in np.array_split(r.permutation(len(texts)), max(1, len(texts) // batch)):
-                x = ids[chunk]
+            order = np.argsort(sizes + r.random(len(sizes)) * 6, kind="stable")  # stretches of like length together
+            chunks = np.array_split(order, max(1, len(texts) // batch))
+            for k in r.permutation(len(chunks)):
+                chunk = chunks[k]
+                x = np.zeros((len(chunk), int(sizes[chunk].max())), dtype=np.int64)
+                for i, j in enumerate(chunk):
+                    x[i, : sizes[j]] = rows[j]
+                mask = (x.T > 0).astype(np.float32)
                 x = np.where(r.random(x.shape) < 0.04, 0, x)  # words left out, so that no single one decides
                 used, where = np.unique(x, return_inverse=True)
                 where = where.reshape(x.shape)
                 size = n[used]
                 mine = g[np.repeat(begin[used] - np.cumsum(size) + size, size) + np.arange(size.sum())]
                 e = self.embed(b[used], mine, size)
-                mask = (x.T > 0).astype(np.float32)
                 xin = e[where.T]
                 cache: dict = {}
-                p = self.score(xin @ self.p["wf"] + self.p["bf"], xin @ self.p["wb"] + self.p["bb"], mask, cache)
-                grads = self._gradients(cache, (p - labels[chunk]) * weight[chunk] / len(chunk), xin)
+                logits = self.logits(xin @ self.p["wf"] + self.p["bf"], xin @ self.p["wb"] + self.p["bb"], mask, cache)
+                grads = self._gradients(cache, self._pull(logits, labels[chunk], [cores[j] for j in chunk], sizes[chunk]), xin)
                 de = np.zeros_like(e)
-                np.add.at(de, where.T.ravel(), grads.pop("xin").reshape(-1, DIM))
+                de += _sums(where.T.ravel(), grads.pop("xin").reshape(-1, DIM), len(e))
                 de[used == 0] = 0
                 step += 1
                 lr = rate * (1 - 0.8 * step / total)
                 rw, at_w = np.unique(b[used], return_inverse=True)
-                gw = np.zeros((len(rw), DIM), dtype=np.float32)
-                np.add.at(gw, at_w, de)
+                gw = _sums(at_w.ravel(), de, len(rw))
                 rg, at_g = np.unique(mine, return_inverse=True)
-                gg = np.zeros((len(rg), DIM), dtype=np.float32)
-                np.add.at(gg, at_g, np.repeat(de / size[:, None].astype(np.float32), size, axis=0))
+                gg = _sums(at_g.ravel(), np.repeat(de / size[:, None].astype(np.float32), size, axis=0), len(rg))
                 gw[rw == 0], gg[rg == 0] = 0, 0
-                for k, d, rows in [*((k, d, slice(None)) for k, d in grads.items()), ("word", gw, rw), ("gram", gg, rg)]:
-                    m, v = moments[k]
-                    m[rows] += 0.1 * (d - m[rows])
-                    v[rows] += 0.001 * (d * d - v[rows])
-                    self.p[k][rows] -= (lr * (m[rows] / (1 - 0.9**step)) / (np.sqrt(v[rows] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
+                for k2, d, rs in [*((k2, d, slice(None)) for k2, d in grads.items()), ("word", gw, rw), ("gram", gg, rg)]:
+                    m, v = moments[k2]
+                    m[rs] += 0.1 * (d - m[rs])
+                    v[rs] += 0.001 * (d * d - v[rs])
+                    self.p[k2][rs] -= (lr * (m[rs] / (1 - 0.9**step)) / (np.sqrt(v[rs] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
         return self
 
+    @staticmethod
+    def _pull(logits: np.ndarray, labels: np.ndarray, cores: list[tuple[int, int]], sizes: np.ndarray) -> np.ndarray:
+        """Gradient of the loss by each window's logit."""
+        starts = np.arange(len(logits))[:, None]
+        a, b = (np.array([c[i] for c in cores])[None, :] for i in (0, 1))
+        held = np.minimum(b, starts + WINDOW) - np.maximum(a, starts)
+        valid = logits > -29
+        share = np.where((labels[None, :] > 0) & (held >= np.minimum(b - a, WINDOW)) & valid, 1.0, 0.0)
+        share += (labels[None, :] == 0) * valid * 0.5
+        share /= np.maximum(share.sum(0), 1e-6)
+        top = np.zeros_like(share)
+        top[logits.argmax(0), np.arange(logits.shape[1])] = 1
+        share = np.where(labels[None, :] > 0, share, 0.4 * share + 0.6 * top)
+        return ((_sigmoid(logits) - labels[None, :]) * share * np.where(labels > 0, 1.5, 1.0)[None, :] / len(sizes)).astype(np.float32)
+
     def _gradients(self, c: dict, dlogit: np.ndarray, xin: np.ndarray) -> dict[str, np.ndarray]:
-        hs, a, w, pooled = c["hs"], c["a"], c["w"], c["pooled"]
-        out = {"out": pooled.T @ dlogit, "bias": np.array([dlogit.sum()], dtype=np.float32)}
-        dpool = dlogit[:, None] * self.p["out"]
-        dhs = w[:, :, None] * dpool
-        dw = (hs * dpool).sum(2)
-        de = w * (dw - (w * dw).sum(0))
-        out["av"] = np.einsum("tbh,tb->h", a, de)
+        hs, a, w, v = c["hs"], c["a"], c["w"], c["v"]
+        steps = len(hs)
+        dn = dlogit / c["total"]
+        from_sums = _spread(dn, steps)
+        dv = from_sums * w
+        dw = from_sums * v - _spread(dn * c["raw"], steps)
+        de = dw * w * (np.abs(c["e"]) < 4)
+        out = {"out": np.einsum("tbh,tb->h", hs, dv), "bias": np.array([dlogit.sum()], dtype=np.float32), "av": np.einsum("tbh,tb->h", a, de)}
         da = de[:, :, None] * self.p["av"] * (1 - a * a)
-        out["att"] = np.einsum("tbh,tbk->hk", hs, da)
-        dhs = dhs + da @ self.p["att"].T
+        out["att"] = np.tensordot(hs, da, ((0, 1), (0, 1)))
+        dhs = dv[:, :, None] * self.p["out"] + da @ self.p["att"].T
         dxf, out["uf"] = self._back(dhs[:, :, :HIDDEN], c["kf"], self.p["uf"], (*xin.shape[:2], 3 * HIDDEN))
         dxb, out["ub"] = self._back(dhs[:, :, HIDDEN:], c["kb"], self.p["ub"], (*xin.shape[:2], 3 * HIDDEN))
-        out["wf"], out["wb"] = np.einsum("tbd,tbh->dh", xin, dxf), np.einsum("tbd,tbh->dh", xin, dxb)
+        out["wf"], out["wb"] = np.tensordot(xin, dxf, ((0, 1), (0, 1))), np.tensordot(xin, dxb, ((0, 1), (0, 1)))
         out["bf"], out["bb"] = dxf.sum((0, 1)), dxb.sum((0, 1))
         out["xin"] = dxf @ self.p["wf"].T + dxb @ self.p["wb"].T
         return out
@@ -283,146 +349,189 @@ class Scorer:
         self.rows: dict[str, int] = {}
         p = self.net.p
         self.table = np.concatenate([p["bf"], p["bb"]])[None, :].astype(np.float32)
+        self.held = 1
 
     def _learn(self, fresh: list[str]) -> None:
         b, g, n = self.net.vectors(fresh)
         e = self.net.embed(b, g, n)[1:]
         p = self.net.p
-        self.table = np.concatenate([self.table, np.concatenate([e @ p["wf"] + p["bf"], e @ p["wb"] + p["bb"]], axis=1)])
+        rows = np.concatenate([e @ p["wf"] + p["bf"], e @ p["wb"] + p["bb"]], axis=1)
+        if self.held + len(rows) > len(self.table):
+            self.table = np.concatenate([self.table[: self.held], np.empty((self.held + 2 * len(rows), self.table.shape[1]), dtype=np.float32)])
+        self.table[self.held : self.held + len(rows)] = rows
+        self.held += len(rows)
         for w in fresh:
             self.rows[w] = len(self.rows) + 1
 
-    def score(self, texts: list[str], chunk: int = 4096) -> np.ndarray:
+    def score(self, texts: list[str]) -> np.ndarray:
         """Score of each text: that of its worst window; 0 for a text without words."""
+        return self.score_words([words(t, self.memo) for t in texts])
+
+    def score_words(self, cut: list[list[str]], chunk: int = 512) -> np.ndarray:
         if len(self.rows) > MAX_ROWS:
             self._reset()
-        cut = [words(t, self.memo) for t in texts]
-        fresh = list(dict.fromkeys(w for ws in cut for w in ws if w not in self.rows))
-        if fresh:
-            self._learn(fresh)
-        row = self.rows.__getitem__
-        out = np.zeros(len(texts), dtype=np.float64)
-        parts: list[np.ndarray] = []
-        owner: list[int] = []
+        out = np.zeros(len(cut), dtype=np.float64)
+        parts: list[tuple[int, list[str]]] = []
         held = 0
         for i, ws in enumerate(cut):
-            if ws:
-                ids = np.zeros(max(WINDOW, len(ws)), dtype=np.int32)
-                ids[: len(ws)] = list(map(row, ws))
-                parts.append(np.lib.stride_tricks.sliding_window_view(ids, WINDOW))
-                owner.append(i)
-                held += len(parts[-1])
-            if held >= MAX_WINDOWS:
-                np.maximum.at(out, np.repeat(owner, [len(x) for x in parts]), self._windows(np.concatenate(parts), chunk))
-                parts, owner, held = [], [], 0
-        if parts:
-            np.maximum.at(out, np.repeat(owner, [len(x) for x in parts]), self._windows(np.concatenate(parts), chunk))
+            for a, b in segments(len(ws)) if ws else ():
+                parts.append((i, ws[a:b]))
+                held += b - a
+                if held >= MAX_WORDS:
+                    self._flush(parts, out, chunk)
+                    parts, held = [], 0
+        self._flush(parts, out, chunk)
         return out
 
-    def _windows(self, ids: np.ndarray, chunk: int) -> np.ndarray:
-        """Score of each window of rows of the table; equal windows are computed once."""
-        mix = np.random.default_rng(1).integers(1, 1 << 62, WINDOW, dtype=np.uint64) | np.uint64(1)
-        key = ((ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) * mix).sum(1, dtype=np.uint64)
-        _, first, back = np.unique(key, return_index=True, return_inverse=True)
-        once = ids[first]
-        p = np.empty(len(once), dtype=np.float32)
-        for a in range(0, len(once), chunk):
-            part = once[a : a + chunk].T
-            x = self.table[part]
-            p[a : a + chunk] = self.net.score(x[:, :, : 3 * HIDDEN], x[:, :, 3 * HIDDEN :], (part > 0).astype(np.float32))
-        return p[back.ravel()]
-
-
-def training_windows(ordinary: list[str], seed: int = 9) -> tuple[list[list[str]], list[int], list[list[str]]]:
-    """Windows that hold an abusive sentence, set among ordinary words, and windows of ordinary and benign ones;
-    the ordinary windows beyond ``NEGATIVES`` apart."""
+    def _flush(self, parts: list[tuple[int, list[str]]], out: np.ndarray, chunk: int) -> None:
+        if not parts:
+            return
+        fresh = list(dict.fromkeys(w for _, ws in parts for w in ws if w not in self.rows))
+        if fresh:
+            self._learn(fresh)
+        row = self.rows.__getitem__
+        parts.sort(key=lambda x: len(x[1]))
+        for k in range(0, len(parts), chunk):
+            some = parts[k : k + chunk]
+            ids = np.zeros((len(some), len(some[-1][1])), dtype=np.int32)
+            for j, (_, ws) in enumerate(some):
+                ids[j, : len(ws)] = list(map(row, ws))
+            x = self.table[ids.T]
+            top = self.net.logits(x[:, :, : 3 * HIDDEN], x[:, :, 3 * HIDDEN :], (ids.T > 0).astype(np.float32)).max(0)
+            np.maximum.at(out, [i for i, _ in some], _sigmoid(top))
+
+
+_PIECE = re.compile(r"[.!?。！？।؟…]+[\s\"'”’»)）」』]*|[。！？]|\n+")
+
+
+def pieces(text: str, memo: dict[str, str]) -> list[list[str]]:
+    """Words of the rough sentences of a text, long ones in parts."""
+    out = []
+    for part in _PIECE.split(text):
+        ws = words(part, memo) if part.strip() else []
+        out += [ws[i : i + SEGMENT - 2 * HALO] for i in range(0, len(ws), SEGMENT - 2 * HALO)]
+    return out
+
+
+def _pairs(ws: list[str]) -> set[tuple[str, str]]:
+    return set(zip(["^", *ws], [*ws, "$"]))
+
+
+class Evidence:
+    """How much more often word pairs occur in texts judged unsafe than in others."""
+
+    def __init__(self, flagged: list[list[list[str]]], others: list[list[list[str]]]):
+        self.share = max(1, len(flagged)) / max(1, len(others))
+        self.bad, self.all = Counter(), Counter()
+        for texts, into in ((flagged, self.bad), (others, self.all)):
+            for cut in texts:
+                into.update(set().union(*map(_pairs, cut)) if cut else ())
+
+    def of(self, ws: list[str]) -> tuple[float, float, float]:
+        """Mean log ratio of the pairs met three times or more, with a lower and an upper bound (one deviation
+        of the count); 0 if there are none."""
+        got = [(self.bad[p], self.all[p] * self.share + 0.5) for p in _pairs(ws) if self.bad[p] + self.all[p] >= 3]
+        if len(got) < 2:
+            return 0.0, 0.0, 0.0
+        low = sum(math.log((f - math.sqrt(f) + 0.5) / e) for f, e in got) / len(got)
+        mid = sum(math.log((f + 0.5) / e) for f, e in got) / len(got)
+        high = sum(math.log((f + math.sqrt(f + 1) + 0.5) / e) for f, e in got) / len(got)
+        return low, mid, high
+
+
+def _examples(ordinary: list[list[list[str]]], seed: int) -> tuple[list, list, list]:
+    """Stretches with a written sentence of either kind set among ordinary words."""
     r = random.Random(seed)
     memo: dict[str, str] = {}
-    plain = [w for w in (words(t, memo) for t in ordinary) if w]
-    texts, labels = [], []
-
-    def around(core: list[str], label: int) -> None:
-        left, right = (r.choice(plain) if plain else [] for _ in range(2))
-        i = r.randrange(len(left) + 1)
-        before, after = left[max(0, i - r.randint(0, 8)) : i], right[: r.randint(0, 8)]
-        whole = before + core + after
-        a, b = len(before), len(before) + len(core)
-        for s in range(0, max(1, len(whole) - WINDOW + 1)):
-            held = min(b, s + WINDOW) - max(a, s)
-            if label == 0 or held >= min(len(core), 8):
-                texts.append(whole[s : s + WINDOW])
-                labels.append(label)
-                if len(texts) % 3:  # a few of the places only
-                    break
-
-    for s in ex.sentences(ex.ABUSIVE, seed, 9, 0.5):
-        around(words(s, memo), 1)
-    for s in ex.sentences(ex.BENIGN, seed + 1, 14, 0.05):
-        around(words(s, memo), 0)
-    every = [w for ws in plain for w in windows(ws)]  # type: ignore[arg-type]
-    r.shuffle(every)
-    for i, w in enumerate(every[:NEGATIVES]):
-        w = [x for x in w if x]
-        if i % 3 == 0 and len(w) > 2:  # short texts and headings are ordinary too
-            a = r.randrange(len(w) - 1)
-            w = w[a : a + r.randint(2, 8)]
-        texts.append(w)
-        labels.append(0)
-    return texts, labels, [[x for x in w if x] for w in every[NEGATIVES:]]
-
-
-def telling_words(ordinary: list[list[str]]) -> set[str]:
-    """Words of the abusive sentences that are rare in ordinary windows."""
-    seen: dict[str, int] = {}
-    for t in ordinary:
-        for w in set(t):
-            seen[w] = seen.get(w, 0) + 1
-    memo: dict[str, str] = {}
-    mine = {w for s in ex.sentences(ex.ABUSIVE, 1, 1, 0.0) for w in words(s, memo)}
-    return {w for w in mine if seen.get(w, 0) * 200 <= len(ordinary)}
+    plain = [ws for cut in ordinary for ws in cut if ws]
+    texts, labels, cores = [], [], []
+    for lists, copies, label, disguise in ((ex.ABUSIVE, 8, 1, 0.4), (ex.BENIGN, 10, 0, 0.1), (ex.EVERYDAY, 8, 0, 0.05), (ex.OTHER, 6, 0, 0.05)):
+        for s in ex.sentences(lists, seed, copies, disguise):
+            core = words(s, memo)[: SEGMENT - 2 * HALO]
+            left, right = (r.choice(plain) if plain and r.random() < 0.6 else [] for _ in range(2))
+            left, right = left[-r.randint(1, HALO) :], right[: r.randint(1, HALO)]
+            texts.append(left + core + right)
+            labels.append(label)
+            cores.append((len(left), len(left) + len(core)))
+    return texts, labels, cores
 
 
 def train(ordinary: list[str], flagged: list[str]) -> AbuseNet:
-    """Two rounds. ``ordinary`` and ``flagged`` are bounded samples of texts that a rough judge called clean
-    and unsafe. After the first, ordinary windows that look abusive and hold two telling words are left out
-    (the judge missed them), and
-    of each flagged text the worst window joins the abusive ones if it looks so and
-    holds a telling word; flagged for other reasons, it does not."""
-    texts, labels, rest = training_windows(ordinary)
-    net = AbuseNet().fit(texts, np.array(labels, dtype=np.float32), epochs=2)
-    scorer = Scorer(net)
-    odd = scorer.score([" ".join(t) for t in texts])
-    telling = telling_words(texts[-NEGATIVES:])
-    first = len(texts) - min(NEGATIVES, len(texts))
-    missed = [not labels[i] and i >= first and odd[i] >= 0.6 and len(telling.intersection(texts[i])) >= 2 for i in range(len(texts))]
-    keep = [i for i, m in enumerate(missed) if not m]
-    # of the other ordinary windows, those that look abusive without a telling word teach the difference
-    confused = [w for w, q in zip(rest, scorer.score([" ".join(w) for w in rest])) if q > 0.2 and len(telling.intersection(w)) < 2]
-    more, memo = [], {}
-    for t in flagged:
-        ws = words(t, memo)
-        if ws:
-            mine = [[x for x in w if x] for w in windows(ws)]  # type: ignore[arg-type]
-            s = scorer.score([" ".join(w) for w in mine])
-            i = int(s.argmax())
-            if s[i] > 0.9 and telling.intersection(mine[i]):
-                more.append(mine[i])
-    texts = [texts[i] for i in keep] + more + confused
-    labels = [labels[i] for i in keep] + [1] * len(more) + [0] * len(confused)
-    return AbuseNet().fit(texts, np.array(labels, dtype=np.float32), epochs=5)
+    """Network from written sentences and from the texts' own.
+
+    ``ordinary`` and ``flagged`` are bounded samples of texts not judged unsafe and judged unsafe by a rough
+    judge, who misses much and flags for other reasons too. A first net learns the written sentences
+    among ordinary ones. Then, three times, every sentence of the samples is labelled anew by the net's score
+    and by the evidence of the judge (how much more often its word pairs stand in flagged texts):
+    abusive if both speak for it, ordinary if one clearly does not; the others are left out. The net goes
+    on with these, the ordinary ones that look abusive first.
+    """
+    memo: dict[str, str] = {}
+    cut = [pieces(t, memo) for t in ordinary]
+    bad = [pieces(t, memo) for t in flagged]
+    evidence = Evidence(bad, cut)
+    seen = Counter(tuple(ws) for text in (*cut, *bad) for ws in text if ws)
+    mine = [list(ws) for ws in seen]
+    low, mid, high = np.array([evidence.of(ws) for ws in mine] or [(0.0, 0.0, 0.0)]).T
+    r = random.Random(11)
+    texts, labels, cores = _examples(cut, 9)
+    joined = _stretches(cut, r)[:NEGATIVES]
+    net = AbuseNet().fit(texts + joined, np.array(labels + [0] * len(joined), dtype=np.float32), cores + [(0, len(t)) for t in joined], epochs=3)
+    for turn in range(3):
+        scorer = Scorer(net)
+        score = scorer.score_words(mine)
+        abusive = ((score >= 0.25) & (low >= 0.8)) | ((score >= 0.95) & (low >= 0.3))
+        ordinary_now = ((score < 0.25) & (low >= 0.8)) | ((score < 0.9) & (mid < 0.3)) | (high < 0)
+        doubtful = {tuple(ws) for ws, p, q in zip(mine, abusive, ordinary_now) if p or not q}
+        clean = [[ws for ws in text if tuple(ws) not in doubtful] for text in cut]
+        more = [(ws, 1) for ws, k in zip(mine, abusive) if k] + [(ws, 0) for ws, n, k, s in zip(mine, seen.values(), ordinary_now, score) if k and s > 0.05 for _ in range(min(30, 3 + n // 2))]
+        around = [ws for text in clean for ws in text if ws]
+        extra, extra_labels, extra_cores = [], [], []
+        for ws, label in more:
+            left, right = (r.choice(around) if around and r.random() < 0.6 else [] for _ in range(2))
+            left, right = left[-r.randint(1, HALO) :], right[: r.randint(1, HALO)]
+            extra.append(left + ws + right)
+            extra_labels.append(label)
+            extra_cores.append((len(left), len(left) + len(ws)))
+        joined = _stretches(clean, r)[: 2 * NEGATIVES]  # those that look abusive first: they teach the most
+        looks = scorer.score_words(joined)
+        hard = [joined[i] for i in np.argsort(-looks, kind="stable")[: NEGATIVES // 4] if looks[i] > 0.03]
+        joined = hard + hard + joined[: NEGATIVES - 2 * len(hard)]
+        net.fit(
+            texts + extra + joined, np.array(labels + extra_labels + [0] * len(joined), dtype=np.float32),
+            cores + extra_cores + [(0, len(t)) for t in joined], epochs=2, seed=5 + turn, rate=3e-3,
+        )
+    return net
+
+
+def _stretches(cut: list[list[list[str]]], r: random.Random) -> list[list[str]]:
+    """The words of the texts in stretches, some of them short, in random order."""
+    out = []
+    for text in cut:
+        ws = [w for part in text for w in part]
+        at = 0
+        while at < len(ws):
+            n = r.choice((SEGMENT, SEGMENT, 24, 8))
+            out.append(ws[at : at + n])
+            at += n
+    r.shuffle(out)
+    return out
 
 
 def fit_on(rows: DataFrame, verdicts: DataFrame) -> AbuseNet:
-    """Network trained on at most ``SAMPLE_ROWS`` records and ``FLAGGED_ROWS`` requests whose verdict is unsafe.
+    """Network trained on at most ``FLAGGED_ROWS`` requests whose verdict is unsafe and ``SAMPLE_ROWS`` other records.
 
-    ``rows`` has (record_id, text), ``verdicts`` (record_id, verdict) of the moderation stage.
+    ``rows`` has (origin, record_id, text), ``verdicts`` (record_id, verdict) of the moderation stage. Records
+    without a verdict count as not judged unsafe.
     """
     unsafe = verdicts.where(F.lower(F.trim("verdict")) == "unsafe").select("record_id").distinct()
     texts = rows.where("length(text) between 3 and 4000")
     ids = [r["record_id"] for r in bounded_sample(unsafe, FLAGGED_ROWS, "record_id")]
-    flagged = [r["text"] for r in texts.where(F.col("origin") == "request").where(F.col("record_id").isin(ids)).select("record_id", "text").dropDuplicates(["record_id"]).orderBy("record_id").collect()] if ids else []
-    ordinary = [r["text"] for r in bounded_sample(texts.select("text"), SAMPLE_ROWS, "text")]
-    return train(ordinary, flagged)
+    is_bad = (F.col("origin") == "request") & F.col("record_id").isin(ids)
+    flagged = sorted({(r["record_id"], r["text"]) for r in texts.where(is_bad).select("record_id", "text").dropDuplicates(["record_id", "text"]).collect()}) if ids else []
+    known = {i for i, _ in flagged}
+    ordinary = [r["text"] for r in bounded_sample(texts.select("origin", "record_id", "text"), SAMPLE_ROWS, "text") if r["origin"] != "request" or r["record_id"] not in known]
+    return train(list(dict.fromkeys(ordinary)), list(dict.fromkeys(t for _, t in flagged)))
 
 
 def verdicts_of(moderated: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatewarden.llm import abuse, abuse_examples, bitwise, bpe, languages, leaks, pii, pii_examples, sentences
+from gatewarden.llm import bitwise, bpe, languages, leaks, pii, pii_examples, sentences
 from gatewarden.llm.fold import tokens
 
 RECORD = "origin string, record_id string, text string, label string, source string, publisher_id string"
@@ -237,71 +237,6 @@ def test_kinds_and_redaction(spark, field):
     assert [r.text for r in pii.redacted_table(df, field).where("record_id = 'a'").collect()] == ["Call me on [PHONE] or [EMAIL]."] * 2
 
 
-def test_undisguise():
-    want = {"ch0k3": "choke", "w3r7l053r": "wertloser", "woooorthless": "worthless", "r-a-t-a-s": "ratas", "h_o_r_n_y": "horny", "1,234.5": "0", "v2.53": "0", "mоrоn": "moron", "don't": "dont", "***": ""}
-    assert {k: abuse.undisguise(k) for k in want} == want
-    assert abuse.words("you are so h o r n y", {}) == ["you", "are", "so", "horny"]
-    assert abuse.words("ＳＬＵＴ sc​um 白*痴", {}) == ["slut", "scum", "白", "痴"]
-
-
-def test_gradients_against_differences():
-    r = np.random.default_rng(1)
-    net = abuse.AbuseNet()
-    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
-    x = r.standard_normal((5, 3, abuse.DIM))
-    mask = np.ones((5, 3))
-    mask[3:, 1] = 0
-    y = np.array([1.0, 0.0, 1.0])
-
-    def loss():
-        p = net.score(x @ net.p["wf"] + net.p["bf"], x @ net.p["wb"] + net.p["bb"], mask)
-        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).sum()
-
-    cache: dict = {}
-    p = net.score(x @ net.p["wf"] + net.p["bf"], x @ net.p["wb"] + net.p["bb"], mask, cache)
-    grads = net._gradients(cache, p - y, x)
-    for k in ("uf", "wb", "att", "av", "out", "bf"):
-        at = tuple(r.integers(0, n) for n in net.p[k].shape)
-        old, h = net.p[k][at], 1e-2
-        net.p[k][at] = old + h
-        up = loss()
-        net.p[k][at] = old - h
-        down = loss()
-        net.p[k][at] = old
-        assert grads[k][at] == pytest.approx((up - down) / (2 * h), rel=0.05, abs=2e-3), k
-
-
-@pytest.fixture(scope="module")
-def net():
-    plain = ["The reviewers marked the travel adapter as relevant for museum visitors.", "Please keep the tone calm, because train commuters already heard about late deliveries.", "Resume en pocas frases lo que las familias opinan sobre el plan de comidas.", "Keywords: Abel, Cordan, Mist.", "Wir möchten das Rätselspiel im Herbst vorstellen."] * 60
-    return abuse.train(plain, [])
-
-
-def test_abuse_on_held_out_disguises(net):
-    s = abuse.Scorer(net)
-    bad = list(abuse_examples.sentences({k: abuse_examples.ABUSIVE[k] for k in ("en", "es", "de", "ru")}, seed=77, copies=1, disguised=0.5))
-    good = list(abuse_examples.sentences(abuse_examples.BENIGN, seed=78, copies=1, disguised=0.0))
-    assert (s.score(bad) > abuse.THRESHOLD).mean() > 0.9 and (s.score(good) > abuse.THRESHOLD).mean() < 0.1
-
-
-def test_long_texts_keep_every_window(net):
-    s = abuse.Scorer(net)
-    filler = "the reviewers marked the travel adapter as relevant for museum visitors " * 400
-    a, b = s.score([filler, filler + "you are a worthless idiot and everyone hates you " + filler])
-    assert a < 0.5 < b
-    assert s.score(["", "...", "12"])[0] == 0
-    assert abuse.windows(list(range(1, 31)))[-1] == list(range(19, 31))
-
-
-def test_abuse_tables(spark, net):
-    rows = [("request", "a", "You are a worthless idiot.", None, None, "p"), ("request", "a", "You are a worthless idiot.", None, None, "p"), ("document", "1", "", None, "s", None), ("document", "2", "Please keep the tone calm.", None, "s", "p")]
-    scores = abuse.score_table(spark.createDataFrame(rows, RECORD), net)
-    assert scores.count() == 4
-    got = {(r.scope, r.value): (r.n, r.n_abusive) for r in abuse.rates(scores).collect()}
-    assert got == {("publisher", "p"): (2, 1), ("source", "s"): (2, 0)}
-    assert abuse.score_table(spark.createDataFrame([], RECORD), net).count() == 0
-
-
 def test_folding():
     assert tokens("Ｃafé​, DÉJÀ-vu 12 日本x") == ["cafe", "deja", "vu", "12", "日", "本", "x"]
     assert tokens("तुलना कीजिए, ज़िक्र") == ["तुलना", "कीजिए", "ज़िक्र"]
