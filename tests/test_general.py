@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gatewarden.functions.text import clean_id
 from gatewarden.functions.times import iso_hour, iso_timestamp
 from gatewarden.operators.dedup_index import build_index, exactly_once, superfluous
-from gatewarden.operators.late_replay import ReplayState, hourly_counts
+from gatewarden.operators.late_replay import HourlyReplay, ReplayState, hourly_counts
 
 ROWS = "delivery_id bigint, req_id string, prefix string"
 
@@ -84,12 +84,54 @@ def test_late_rows_against_counting(spark):
             assert x.day_count == sum(v[0] + v[1] for (kk, h), v in want.items() if kk == k[0] and h // 24 == day and h <= k[1])
 
 
-def test_replay_restores_checkpoints():
-    s = ReplayState()
-    for minute, lateness in ((0, 0), (61, 0), (130, 0), (5, 1), (200, 2), (62, 0)):
-        s.add(minute, lateness, 1)
-    assert {h: o[2] for h, o in s.outputs.items() if o[1]} == {0: 2, 1: 4, 2: 5}
-    assert s.outputs[3][4] == 1 and s.outputs[0][5] == 1 and s.outputs[1][5] == 1
+def _state(*deltas):
+    s = ReplayState(5, 360)
+    for minute, arrival in deltas:
+        s.add(minute, arrival, 1)
+    return s
+
+
+def _table(s):
+    flat = s.rows()
+    return {flat[i]: tuple(flat[i + 1 : i + 7]) for i in range(0, len(flat), 7)}
+
+
+DELTAS = ((0, 1), (61, 62), (130, 131), (5, 190), (62, 191), (200, 210), (6, 500))
+
+
+def test_replay_restores_checkpoints_and_replaces_outputs():
+    got = _table(_state(*DELTAS))
+    #             first, final, day, late, dropped, replays
+    assert got == {0: (1, 2, 2, 1, 1, 1), 1: (1, 2, 4, 1, 0, 1), 2: (1, 1, 5, 0, 0, 0), 3: (1, 1, 6, 0, 0, 0)}
+
+
+def test_nothing_is_counted_without_replay(monkeypatch):
+    monkeypatch.setattr(ReplayState, "_replay", lambda self, hour: None)
+    assert all(final == late == day == 0 for _, final, day, late, _, _ in _table(_state(*DELTAS)).values())
+
+
+def test_a_saved_state_goes_on():
+    for cut in range(len(DELTAS) + 1):
+        a = _state(*DELTAS[:cut])
+        b = ReplayState(5, 360)
+        b.restore(a.water, *a.save())
+        for minute, arrival in DELTAS[cut:]:
+            b.add(minute, arrival, 1)
+        assert {h: v[:5] for h, v in _table(b).items()} == {h: v[:5] for h, v in _table(_state(*DELTAS)).items()}, cut
+
+
+def test_batches_agree_with_one(spark):
+    r = random.Random(4)
+    base = dt.datetime(2024, 3, 1)
+    rows = [(r.choice("ab"), e, e + dt.timedelta(minutes=r.choice([0, 3, 100, 400, 900]))) for e in (base + dt.timedelta(minutes=r.randrange(3000)) for _ in range(600))]
+    df = spark.createDataFrame(rows, "key string, e timestamp, a timestamp")
+    columns = ("key", "hour", "first_count", "final_count", "day_count", "n_late", "n_dropped")
+    once = sorted(tuple(x) for x in hourly_counts(df, F.col("key"), F.col("e"), F.col("a")).select(*columns).collect())
+    job = HourlyReplay()
+    for lo, hi in ((0, 900), (900, 2000), (2000, 9999)):
+        limits = [F.lit(base + dt.timedelta(minutes=m)) for m in (lo, hi)]
+        out = job.ingest(df.where((F.col("a") >= limits[0]) & (F.col("a") < limits[1])), F.col("key"), F.col("e"), F.col("a"))
+    assert sorted(tuple(x) for x in out.select(*columns).collect()) == once
 
 
 def test_late_rows_of_an_empty_table(spark):
