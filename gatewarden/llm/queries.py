@@ -81,15 +81,14 @@ def _labeled(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs, _ = overlap.cross_split(_labeled(spark, folder), "req_id", "prompt", "split")
+    pairs = overlap.cross_split(_labeled(spark, folder), "req_id", "prompt", "split")
     return pairs.select(F.least("train_key", "eval_key").alias("req_id_a"), F.greatest("train_key", "eval_key").alias("req_id_b"))
 
 
 def p6_report(spark: SparkSession, folder: str) -> DataFrame:
-    """Per split and publisher: evaluation rows, those that overlap train, and their mean best coverage."""
+    """Per split and publisher: evaluation rows, those that overlap train, and their mean coverage by all of train."""
     rows = _labeled(spark, folder)
-    pairs, _ = overlap.cross_split(rows, "req_id", "prompt", "split")
-    best = pairs.groupBy(F.col("eval_key").alias("req_id")).agg(F.max("coverage").alias("coverage"), F.count("*").alias("n"))
+    best = overlap.Overlap(rows, "req_id", "prompt", "split").coverage()
     held = rows.where("split <> 'train'").join(best, "req_id", "left")
     return held.groupBy("split", "publisher_id").agg(
         F.count("*").alias("n_rows"), F.count("n").alias("n_overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.round(F.avg("coverage"), 6).alias("mean_coverage")

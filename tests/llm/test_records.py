@@ -1,11 +1,11 @@
 """Splits and cross-split overlap against brute force."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from gatewarden.llm import overlap, splits
+from gatewarden.llm import bitwise, overlap, splits
 from gatewarden.llm.bitwise import lcs_length
 from gatewarden.llm.fold import is_solid, tokens
 
@@ -109,7 +109,8 @@ def test_overlap_against_brute_force(spark):
     texts += ["字" * 5 + "日本語の文章をここに書いて三十文字以上にするための例です" + str(i) for i in range(3)] + [None, "", "a a a a a a a a a a a a", "a a a a a a a a a a a"]
     rows = [(f"id{i:03d}", t, r.choice(["train", "train", "test", "validation", None])) for i, t in enumerate(texts)]
     rows += [(f"hot{i:02d}", texts[0], r.choice(["train", "test"])) for i in range(30)]
-    pairs, _ = overlap.cross_split(spark.createDataFrame(rows, "k string, t string, s string"), "k", "t", "s")
+    both = overlap.Overlap(spark.createDataFrame(rows, "k string, t string, s string"), "k", "t", "s")
+    pairs = both.pairs()
     got = {(x.train_key, x.eval_key): x.coverage for x in pairs.collect()}
     assert len(got) == pairs.count()
     use = [(k, tokens(t), s) for k, t, s in rows if t and s and len(tokens(t)) >= (overlap.LEAST_CHARS if is_solid(t) else overlap.LEAST_WORDS)]
@@ -121,9 +122,40 @@ def test_overlap_against_brute_force(spark):
                 if c >= 0.8 - 1e-9:
                     want[k, k2] = c
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    rates = {r.k: (r.n, r.coverage) for r in both.coverage().collect()}
+    assert {k: n for k, (n, _) in rates.items()} == Counter(e for _, e in want)
+    best = defaultdict(float)
+    for (k, e), c in want.items():
+        sizes = {x: len(w) for x, w, _ in use}
+        best[e] = max(best[e], c * max(sizes[k], sizes[e]) / sizes[e])
+    assert all(best[e] - 1e-9 <= c <= 1 for e, (_, c) in rates.items())
+
+
+def test_hot_classes_are_joined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "COPIES", 7)
+    text = "one two three four five six seven eight nine ten eleven"
+    rows = [(f"a{i:02d}", text, "train" if i % 3 else "test") for i in range(60)]
+    assert overlap.cross_split(spark.createDataFrame(rows, "k string, t string, s string"), "k", "t", "s").distinct().count() == 20 * 40
+
+
+def test_halves_in_two_training_texts_cover_the_whole(spark):
+    words = [f"w{i}" for i in range(50)]
+    rows = [("e", " ".join(words), "test"), ("a", " ".join(words[:45]), "train"), ("b", " ".join(words[6:]), "train"), ("c", " ".join(words[:30]), "train")]
+    got = overlap.Overlap(spark.createDataFrame(rows, "k string, t string, s string"), "k", "t", "s").coverage().collect()
+    assert [tuple(r) for r in got] == [("e", 2, 1.0)]
+
+
+def test_places_of_the_common_subsequence():
+    r = random.Random(8)
+    for _ in range(300):
+        a, b = ("".join(r.choice("abcd") for _ in range(r.randrange(1, 14))) for _ in range(2))
+        rows = bitwise.lcs_rows(bitwise.masks(a), len(a), b)
+        places = bitwise.lcs_places(rows, len(a))
+        it = iter(b)
+        assert len(places) == lcs_length(a, b) == len(set(places)) and all(a[p] in it for p in places)
 
 
 def test_overlap_of_nothing(spark):
     df = spark.createDataFrame([("a", "one two three four five six seven eight nine ten", "train")], "k string, t string, s string")
-    assert overlap.cross_split(df, "k", "t", "s")[0].count() == 0
-    assert overlap.cross_split(df.where("k = 'z'"), "k", "t", "s")[0].count() == 0
+    assert overlap.cross_split(df, "k", "t", "s").count() == 0
+    assert overlap.cross_split(df.where("k = 'z'"), "k", "t", "s").count() == 0
