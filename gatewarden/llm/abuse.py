@@ -480,8 +480,9 @@ def train(ordinary: list[str], flagged: list[str]) -> AbuseNet:
     for turn in range(3):
         scorer = Scorer(net)
         score = scorer.score_words(mine)
-        abusive = ((score >= 0.25) & (low >= 0.8)) | ((score >= 0.95) & (low >= 0.3))
-        ordinary_now = ((score < 0.25) & (low >= 0.8)) | ((score < 0.9) & (mid < 0.3)) | (high < 0)
+        odds = np.log((score + 1e-4) / (1.0001 - score)) + 1.5 * np.minimum(low, 2.5)
+        abusive = ((odds >= 0.8) & (low >= 0.5)) | ((score >= 0.95) & (low >= 0.3))
+        ordinary_now = ((odds < -1) & (low >= 0.5)) | ((score < 0.9) & (mid < 0.3)) | (high < 0)
         doubtful = {tuple(ws) for ws, p, q in zip(mine, abusive, ordinary_now) if p or not q}
         clean = [[ws for ws in text if tuple(ws) not in doubtful] for text in cut]
         more = [(ws, 1) for ws, k in zip(mine, abusive) if k] + [(ws, 0) for ws, n, k, s in zip(mine, seen.values(), ordinary_now, score) if k and s > 0.05 for _ in range(min(30, 3 + n // 2))]

@@ -129,8 +129,8 @@ you should be ashamed of being alive|nobody wants you here|the world would be a
 i will {hurt}|i am going to {hurt}|one day i will {hurt}|if i see you again i will {hurt}|we will {hurt}|i know where you live|i know where your kids go to school|you will pay for this|you had better watch your back|you will not live to see the morning|your days are numbered
 kill yourself|go and hang yourself|jump off a bridge|cut your wrists and be done|drink bleach|nobody would cry at your funeral|you will die alone and nobody will care|you are a mistake and your parents regret you|fuck you|fuck off {noun}|eat shit|suck my dick|piss off
 {g} are {beast}|all {g} are {beast}|those {g} are nothing but {beast}|the {g} should be {purge}|every {g} should be {purge}|we must get rid of the {g}|{g} do not belong here|send the {g} back where they came from|never trust a {g}|keep the {g} away from our children|{g} are too {adj} to work|{g} stink
-{g} breed like {beast}|the only good {g} is a dead one|{g} are born {beast}|no {g} should be allowed to vote|no {g} should be allowed near a school|{g} are less intelligent than us|{g} women are only good for one thing|{g} ruin every street they move into|burn down the homes of the {g}|{g} are not real people|throw stones at every {g} you meet|the {g} are a lower race|{g} are lazy and live off our money
-send me a picture of your {body}|show me your {body}|i want to {sexact}|let me {sexact}|i am going to {sexact}|take off your clothes for me|spread your legs for me|get on your knees and suck it|she moaned as he thrust into her|he came all over her {body}|she took his cock into her mouth|write a porn scene in which they fuck|describe her naked {body} in detail|talk dirty to me and touch yourself|i am so horny for your {body}|he pulled down her panties and entered her|they had rough sex until she screamed|i masturbate to your photos|tell me how wet you are|an erotic story where he licks her {body}""",
+{g} breed like {beast}|the only good {g} is a dead one|{g} are born {beast}|no {g} should be allowed to vote|no {g} should be allowed near a school|{g} are less intelligent than us|{g} women are only good for one thing|{g} ruin every street they move into|burn down the homes of the {g}|{g} are not real people|throw stones at every {g} you meet|the {g} are a lower race|crawl back into your hole|get out of our town you {beast}|we do not want your kind around here|this place was clean before the {g} came|go home you {beast}|{g} are lazy and live off our money
+send me a picture of your {body}|show me your {body}|i want to {sexact}|let me {sexact}|i am going to {sexact}|take off your clothes for me|spread your legs for me|get on your knees and suck it|she moaned as he thrust into her|he came all over her {body}|she took his cock into her mouth|write a porn scene in which they fuck|describe her naked {body} in detail|talk dirty to me and touch yourself|i am so horny for your {body}|he pulled down her panties and entered her|they had rough sex until she screamed|i masturbate to your photos|tell me how wet you are|an erotic story where he licks her {body}|she wrapped her legs around him as he filled her|his hands slid under her bra and squeezed her {body}|her fingers stroked his hard dick|he licked her until her body shook|she knelt and took him deep in her throat|naked and wet she rode him on the floor|he fingered her under the table|they made love all night and she screamed his name""",
     "es": """eres un {noun}|eres un {adj} {noun}|{noun} {adj}|cállate {noun}|cierra la boca {noun}|das asco|me das asco|todos te odian|nadie te quiere aquí {noun}|vete a la mierda|vete al infierno {noun}|ojalá {harm}|espero que {harm}|ojalá tus hijos se mueran|mátate|tírate por un puente|ahórcate|voy a {hurt}|te juro que voy a {hurt}|vamos a {hurt}|sé dónde vives|te vas a arrepentir|tienes los días contados|el mundo estaría mejor sin ti|no vales nada|eres tan tonto que no sabes ni leer|tu madre es una {noun}|que te jodan|chúpamela|come mierda
 los {g} son {beast}|todos los {g} son {beast}|esos {g} son {beast}|los {g} deberían ser {purge}|hay que acabar con los {g}|fuera los {g} de nuestro país|que se vuelvan los {g} a su tierra|no te fíes de un {g}|los {g} huelen mal|el único {g} bueno es el muerto|los {g} nacen {beast}|los {g} no son personas|los {g} no deben acercarse a nuestros hijos|quemad las casas de los {g}
 enséñame las tetas|mándame una foto de tu coño|quiero follarte|voy a follarte toda la noche|abre las piernas para mí|chúpame la polla|desnúdate para mí|tócate para mí|ella gemía mientras él la penetraba|escribe una escena porno|se corrió en su boca|describe su cuerpo desnudo|estoy cachondo por ti|le quitó las bragas y la folló""",
