@@ -80,30 +80,39 @@ def undisguise(word: str) -> str:
     return _REPEAT.sub(r"\1", w)
 
 
-def words(text: str, memo: dict[str, str]) -> list[str]:
-    """Plain words of a text; ``memo`` remembers the plain form of tokens."""
+def raw_tokens(text: str) -> list[str]:
+    """Tokens of a text, still disguised; of scripts without spaces each character with the next."""
     if text.isascii():
         t = text.lower()
     else:
-        t = _HIDDEN.sub("", text)
-        t = unicodedata.normalize("NFKC", t).lower()
+        t = unicodedata.normalize("NFKC", _HIDDEN.sub("", text)).lower()
         if not t.isascii():
             t = _GAP.sub("", t)
     if _SPACED.search(t):
         t = _SPACED.sub(lambda m: m.group().replace(" ", ""), t)
+    if t.isascii():
+        return t.split()
+    tokens = _TOKEN.findall(t)
+    if _ONE_SOLID.search(t):
+        solid = [len(k) == 1 and k >= "\u0e00" for k in tokens]
+        tokens = [k + tokens[i + 1] if here and after else k for i, (k, here, after) in enumerate(zip(tokens, solid, [*solid[1:], False]))]
+    return tokens
+
+
+def plain_word(token: str) -> str:
+    w = undisguise(token)
+    return w if w.isascii() else "".join(c for c in unicodedata.normalize("NFD", w) if not "̀" <= c <= "ͯ")
+
+
+def words(text: str, memo: dict[str, str]) -> list[str]:
+    """Plain words of a text; ``memo`` remembers the plain form of tokens."""
+    if len(memo) > MAX_ROWS:
+        memo.clear()
     out = []
-    tokens = t.split() if t.isascii() else _TOKEN.findall(t)
-    if not t.isascii():
-        tokens = [k + tokens[i + 1] if _ONE_SOLID.fullmatch(k) and i + 1 < len(tokens) and _ONE_SOLID.fullmatch(tokens[i + 1]) else k for i, k in enumerate(tokens)]
-    for k in tokens:
+    for k in raw_tokens(text):
         w = memo.get(k)
         if w is None:
-            w = undisguise(k)
-            if not w.isascii():
-                w = "".join(c for c in unicodedata.normalize("NFD", w) if not "̀" <= c <= "ͯ")
-            if len(memo) > MAX_ROWS:
-                memo.clear()
-            memo[k] = w
+            w = memo[k] = plain_word(k)
         if w:
             out.append(w)
     return out
@@ -338,20 +347,24 @@ class AbuseNet:
 
 
 class Scorer:
-    """A network with the projected inputs of the words met so far."""
+    """A network with the projected inputs of the tokens met so far."""
 
     def __init__(self, net: AbuseNet):
         self.net = net
-        self.memo: dict[str, str] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.rows: dict[str, int] = {}
+        self.rows: dict[str, int] = {}  # row of the table of each plain word
+        self.of_token: dict[str, int] = {}  # the same of each token as written; 0 if nothing is left of it
         p = self.net.p
         self.table = np.concatenate([p["bf"], p["bb"]])[None, :].astype(np.float32)
         self.held = 1
 
-    def _learn(self, fresh: list[str]) -> None:
+    def _learn(self) -> None:
+        """Project the words that have a row number but no row yet."""
+        fresh = list(self.rows)[self.held - 1 :]
+        if not fresh:
+            return
         b, g, n = self.net.vectors(fresh)
         e = self.net.embed(b, g, n)[1:]
         p = self.net.p
@@ -360,22 +373,40 @@ class Scorer:
             self.table = np.concatenate([self.table[: self.held], np.empty((self.held + 2 * len(rows), self.table.shape[1]), dtype=np.float32)])
         self.table[self.held : self.held + len(rows)] = rows
         self.held += len(rows)
-        for w in fresh:
-            self.rows[w] = len(self.rows) + 1
+
+    def _row(self, word: str) -> int:
+        return self.rows.setdefault(word, len(self.rows) + 1) if word else 0
+
+    def _ids(self, text: str) -> np.ndarray:
+        tokens = raw_tokens(text)
+        got = list(map(self.of_token.get, tokens))
+        if None in got:
+            for i, x in enumerate(got):
+                if x is None:
+                    got[i] = self.of_token[tokens[i]] = self._row(plain_word(tokens[i]))
+        ids = np.array(got, dtype=np.int32)
+        return ids[ids > 0] if 0 in got else ids
 
     def score(self, texts: list[str]) -> np.ndarray:
         """Score of each text: that of its worst window; 0 for a text without words."""
-        return self.score_words([words(t, self.memo) for t in texts])
+        return self._score(texts, self._ids)
+
+    def score_words(self, cut: list[list[str]]) -> np.ndarray:
+        """The same of texts that are cut into plain words."""
+        return self._score(cut, lambda ws: np.array([self._row(w) for w in ws], dtype=np.int32))
 
-    def score_words(self, cut: list[list[str]], chunk: int = 512) -> np.ndarray:
-        if len(self.rows) > MAX_ROWS:
-            self._reset()
-        out = np.zeros(len(cut), dtype=np.float64)
-        parts: list[tuple[int, list[str]]] = []
+    def _score(self, texts: list, ids_of, chunk: int = 512) -> np.ndarray:
+        out = np.zeros(len(texts), dtype=np.float64)
+        parts: list[tuple[int, np.ndarray]] = []
         held = 0
-        for i, ws in enumerate(cut):
-            for a, b in segments(len(ws)) if ws else ():
-                parts.append((i, ws[a:b]))
+        for i, text in enumerate(texts):
+            if len(self.of_token) + len(self.rows) > 3 * MAX_ROWS:
+                self._flush(parts, out, chunk)
+                parts, held = [], 0
+                self._reset()
+            ids = ids_of(text)
+            for a, b in segments(len(ids)) if len(ids) else ():
+                parts.append((i, ids[a:b]))
                 held += b - a
                 if held >= MAX_WORDS:
                     self._flush(parts, out, chunk)
@@ -383,19 +414,14 @@ class Scorer:
         self._flush(parts, out, chunk)
         return out
 
-    def _flush(self, parts: list[tuple[int, list[str]]], out: np.ndarray, chunk: int) -> None:
-        if not parts:
-            return
-        fresh = list(dict.fromkeys(w for _, ws in parts for w in ws if w not in self.rows))
-        if fresh:
-            self._learn(fresh)
-        row = self.rows.__getitem__
+    def _flush(self, parts: list[tuple[int, np.ndarray]], out: np.ndarray, chunk: int) -> None:
+        self._learn()
         parts.sort(key=lambda x: len(x[1]))
         for k in range(0, len(parts), chunk):
             some = parts[k : k + chunk]
             ids = np.zeros((len(some), len(some[-1][1])), dtype=np.int32)
-            for j, (_, ws) in enumerate(some):
-                ids[j, : len(ws)] = list(map(row, ws))
+            for j, (_, row) in enumerate(some):
+                ids[j, : len(row)] = row
             x = self.table[ids.T]
             top = self.net.logits(x[:, :, : 3 * HIDDEN], x[:, :, 3 * HIDDEN :], (ids.T > 0).astype(np.float32)).max(0)
             np.maximum.at(out, [i for i, _ in some], _sigmoid(top))
