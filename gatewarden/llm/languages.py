@@ -32,24 +32,31 @@ LEAST_CHARS = 20
 LANGUAGES = """en eng english; es spa spanish; fr fra french; de deu german; pt por portuguese; ru rus russian; zh zho chinese;
 ja jpn japanese; ar ara arabic; hi hin hindi; th tha thai; it ita italian; nl nld dutch; pl pol polish; tr tur turkish; ko kor korean;
 uk ukr ukrainian; sv swe swedish; no nor norwegian; da dan danish; fi fin finnish; el ell greek; ro ron romanian; hu hun hungarian;
-he heb hebrew; vi vie vietnamese; id ind indonesian; ms msa malay; cs ces czech"""
+he heb hebrew; fa fas persian; vi vie vietnamese; id ind indonesian; ms msa malay; cs ces czech"""
 #: Other codes and names in use.
-ALIASES = "fre=fr ger=de chi=zh jp=ja español=es espanol=es castellano=es français=fr francais=fr deutsch=de português=pt portugues=pt русский=ru 中文=zh 汉语=zh 日本語=ja العربية=ar हिन्दी=hi हिंदी=hi ไทย=th mandarin=zh"
+ALIASES = "fre=fr ger=de chi=zh jp=ja español=es espanol=es castellano=es français=fr francais=fr deutsch=de português=pt portugues=pt русский=ru 中文=zh 汉语=zh 日本語=ja العربية=ar हिन्दी=hi हिंदी=hi ไทย=th mandarin=zh farsi=fa"
 
 NAMES = {n: e.split()[0] for e in LANGUAGES.replace("\n", " ").split(";") for n in e.split()} | dict(a.split("=") for a in ALIASES.split())
 
-#: Letters of the scripts that one language of the data is written in, and letters that make a word.
-SCRIPTS = {"ru": ("Ѐ-ӿ", 5.0), "ar": ("ء-يٮ-ۓ", 4.5), "hi": ("ऄ-हक़-ॡ", 3.5), "th": ("ก-ฮ", 4.0), "ja": ("぀-ヿ", 1.5), "zh": ("㐀-鿿", 1.5)}
+#: Letters of the other scripts under the language most written in them, and letters that make a word.
+SCRIPTS = {"ru": ("Ѐ-ӿ", 5.0), "ar": ("ء-يٮ-ۓ", 4.5), "hi": ("ऄ-हक़-ॡ", 3.5), "th": ("ก-ฮ", 4.0), "ja": ("぀-ヿ", 1.5), "zh": ("㐀-鿿", 1.5), "ko": ("가-힣", 2.0), "el": ("Ͱ-Ͽἀ-῿", 5.0), "he": ("א-ת", 4.0)}
+#: Further languages of a script, the letters that it lends to them alone, and letters that they lack.
+VARIANTS = {"ru": [("uk", "іїєґ", "ыэъё")], "ar": [("fa", "پچژگکی", "ةىي")]}
 
 _LATIN = re.compile("[a-zß-öø-ÿœ]+")
 _OTHER = re.compile("[Ͱ-￿]")
 _SCRIPTS = {c: (re.compile(f"[{r}]"), w) for c, (r, w) in SCRIPTS.items()}
+_VARIANTS = {c: [(v, re.compile(f"[{own}]"), re.compile(f"[{lacks}]")) for v, own, lacks in vs] for c, vs in VARIANTS.items()}
+OTHERS = {*SCRIPTS, *(v for vs in VARIANTS.values() for v, _, _ in vs)}
 _MIXED = re.compile("[a-z][Ѐ-ӿ]|[Ѐ-ӿ][a-z]")
 _SPEAKER = re.compile(r"^\s*(?:User|Assistant|System|Human|Bot|Agent)\s*[:：]\s*")
 _LIST = re.compile(r"^[^,:：]{2,28}\s?[:：]\s*(?:[^\s,、،;]+(?:\s[^\s,、،;]+)?\s?[,、،;]\s*){2,}[^,、،;]{1,40}$")
 _ADDRESS = re.compile(r"\S+@\S+|https?://\S+|\b\w+[./_-]\w[\w./_-]*")
 
 
+LETTERS = {c: w for c, (_, w) in SCRIPTS.items()} | {v: SCRIPTS[c][1] for c, vs in VARIANTS.items() for v, _, _ in vs}
+
+
 def label_code(label: str | None) -> str | None:
     """Two-letter code that a label stands for, whatever its spelling; None if it names no language."""
     if not label:
@@ -76,7 +83,7 @@ class LanguageModel:
                 words, script, _ = tokens(s)
                 if words and not script:
                     parts.append((code, words))
-        self.latin = sorted({c for c, _ in parts} - set(SCRIPTS)) or ["en"]
+        self.latin = sorted({c for c, _ in parts} - OTHERS) or ["en"]
         index = {c: i for i, c in enumerate(self.latin)}
         for turn in range(rounds):
             words: dict[str, Counter] = defaultdict(Counter)
@@ -165,7 +172,7 @@ class LanguageModel:
         for (words, script, size), b, c, k in zip(parts, best.tolist(), conf.tolist(), known.tolist()):
             share = 0.0
             if script:
-                letters = size * SCRIPTS[script][1]
+                letters = size * LETTERS[script]
                 share = letters / (letters + sum(map(len, words)))
             if script and (size > k or share > 0.5):
                 out.append((script, max(share, min(1.0, 0.5 + size / 12)), max(1, round(size))))
@@ -211,7 +218,7 @@ class LanguageModel:
                 code, conf, size = next(scored)
                 if code:
                     sizes[code] = sizes.get(code, 0.0) + size * conf
-                    if conf >= sure and (size >= least_words or code in SCRIPTS):
+                    if conf >= sure and (size >= least_words or code in OTHERS):
                         firm[code] = None
             if sizes:
                 code = max(sizes, key=sizes.get)
@@ -283,6 +290,9 @@ def tokens(sentence: str) -> tuple[list[str], str | None, float]:
         script, size = max(counts.items(), key=lambda x: x[1])
         if size < 1:
             script = None
+        for variant, own, lacks in _VARIANTS.get(script, ()):
+            if len(own.findall(s)) > 2 * len(lacks.findall(s)):
+                script = variant
     return _LATIN.findall(s), script, size
 
 

@@ -1,8 +1,8 @@
 """Sentence boundaries for all scripts.
 
-Character properties decide where a sentence may end (a terminator of any script, the closing marks and
-the emoji that follow it) and whether what follows can begin another (no lower-case letter, no comma or
-dash). Abbreviations, initials, numbers, links and file names hold a full stop back; quoted and
+Character properties decide where a sentence may end (a character that Unicode calls a sentence
+terminal, of whatever script, with the closing marks and the emoji that follow it) and whether what
+follows can begin another (no lower-case letter, no comma or dash). Abbreviations, initials, numbers, links and file names hold a full stop back; quoted and
 bracketed stretches hold back all terminators within. A blank line always ends a sentence.
 """
 
@@ -12,6 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +40,14 @@ _MONTHS = frozenset(MONTHS.split())
 
 EMOJI = "(?:[\U0001f1e6-\U0001f1ff]{2}|[☀-➿⬀-⯿⌚-⏿\U0001f300-\U0001faff])(?:[\U0001f3fb-\U0001f3ff️⃣]|‍[☀-➿\U0001f300-\U0001faff])*"
 _BLANK = re.compile(r"(?:\r\n|[\n\r\x0b\x0c\x85 ])[^\S\r\n]*(?:\r\n|[\n\r\x0b\x0c\x85 ])\s*| \s*")
-_TERMINATOR = re.compile(r"[.!?…‥。．！？｡।॥؟۔‼⁇-⁉]+")
+_ALL = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x20000))))  # the planes beyond hold no marks
+#: Marks that end sentences of running text but have no such character property: ellipses, Khmer and Tibetan stops.
+_MORE = "…‥។៕།༎"
+TERMINATORS = frozenset(regex.findall(r"[\p{Sentence_Terminal}\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}]", _ALL)) | frozenset(_MORE)
+_CLASS = "".join(re.escape(c) for c in sorted(TERMINATORS))
+_TERMINATOR = re.compile(f"[{_CLASS}]+")
 _PAIRS = re.compile("[“”„«»‘’()（）「」『』【】《》\\[\\]\"]")
-_AFTER = re.compile(rf"(?:[)\]}}\"”’»」』）】》]|\s?»|{EMOJI})*")
+_AFTER = re.compile(rf"(?:[)\]}}\"”’»」』）】》]|\s?»|\s?[།༎]|{EMOJI})*")
 _THAI = re.compile(rf"(?<=[ก-๎])(?:{EMOJI})?(\s+)(?=[ก-๎])")
 _WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-़ͯा-्]|\.(?=\w))*$")
 _LAST_TOKEN = re.compile(r"\S*$")
@@ -49,7 +55,8 @@ _WHOLE = re.compile(r"(?:[^\W\d_]{5}|[\w%]*\d[\d.,]*%?)[)\]»”’]*$")
 _SPACE = re.compile(r"\s*")
 _NEXT_TOKEN = re.compile(r"\S*")
 _CLOSES = {"”": "“„", "»": "«", "’": "‘", ")": "(", "）": "（", "」": "「", "』": "『", "】": "【", "》": "《", "]": "["}
-_HARD = frozenset("。．！？｡।॥۔‼⁇⁈⁉")
+#: Marks that end a sentence whatever follows, with or without a space: those of one script, and the wide ones.
+_HARD = TERMINATORS - frozenset(".!?…‥؟․")
 _CONTINUES = frozenset(",;:，、；：،؛—–-/＝=")
 _OPENERS = "“„«‘(（「『【《[\"¿¡'"
 
