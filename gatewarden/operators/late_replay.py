@@ -32,6 +32,7 @@ from gatewarden.workspace import shuffle_width, stored
 #: minutes and counts: the log; saved: per hour 0 the hour, 1 whether published, 2 to 7 as in ``OUT``; water: the latest arrival.
 STATE = "key string, day bigint, water bigint, minutes array<bigint>, counts array<bigint>, saved array<bigint>, outs array<bigint>"
 OUT = ("hour", "first_count", "final_count", "day_count", "n_late", "n_dropped", "replays")
+HOURS = "key string, " + ", ".join(f"{c} bigint" for c in OUT)
 _FIRST, _FINAL, _RUNNING, _LATE, _DROPPED, _REPLAYS = range(6)
 
 
@@ -143,14 +144,21 @@ class ReplayState:
         return out
 
 
-def _fold(grace: int, cutoff: int):
+def _fold(grace: int, cutoff: int, hourly: bool):
+    """Deltas, after the state of an earlier batch if there is one, sorted by key, day and arrival, to states or to hours."""
+    columns = [c.split()[0] for c in (HOURS if hourly else STATE).split(", ")]
+    width = len(OUT)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Deltas, after the state of an earlier batch if there is one, sorted by key, day and arrival."""
         key, state, rows = None, None, []
 
         def close() -> None:
-            minutes, counts, hours = (list(x) for x in state.save())
-            rows.append((*key, state.water, minutes, counts, hours, state.rows()))
+            if hourly:
+                flat = state.rows()
+                rows.extend((key[0], *flat[i : i + width]) for i in range(0, len(flat), width))
+            else:
+                minutes, counts, hours = (list(x) for x in state.save())
+                rows.append((*key, state.water, minutes, counts, hours, state.rows()))
 
         for pdf in frames:
             for name, day, arrival, minute, n, old in zip(pdf["key"], pdf["day"], pdf["arrival"], pdf["minute"], pdf["n"], pdf["old"]):
@@ -162,22 +170,19 @@ def _fold(grace: int, cutoff: int):
                     state.restore(old["water"], old["minutes"], old["counts"], old["saved"])
                 else:
                     state.add(int(minute), int(arrival), int(n))
-            if len(rows) > 1_000:
-                yield _frame(rows)
-                rows = []
+            if len(rows) > (10_000 if hourly else 1_000):
+                yield pd.DataFrame(rows, columns=columns)
+                rows.clear()
         if state is not None:
             close()
-        yield _frame(rows)
+        yield pd.DataFrame(rows, columns=columns)
 
     return run
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in STATE.split(", ")])
-
-
-def replay(deltas: DataFrame, earlier: DataFrame | None, grace_minutes: int, cutoff_hours: int) -> DataFrame:
-    """States (``STATE``) after the deltas (key, day, arrival, minute, n); an ``earlier`` state table is carried on.
+def replay(deltas: DataFrame, earlier: DataFrame | None, grace_minutes: int, cutoff_hours: int, hourly: bool = False) -> DataFrame:
+    """States (``STATE``), or if ``hourly`` outputs (``HOURS``), after the deltas (key, day, arrival, minute, n); an
+    ``earlier`` state table is carried on.
 
     The deltas of a later batch must not have arrived before those of an earlier one.
     """
@@ -187,7 +192,7 @@ def replay(deltas: DataFrame, earlier: DataFrame | None, grace_minutes: int, cut
         none = F.lit(None).cast("bigint")
         lines = lines.unionByName(earlier.select("key", "day", none.alias("arrival"), none.alias("minute"), none.alias("n"), F.struct("water", "minutes", "counts", "saved").alias("old")))
     lines = lines.repartition(shuffle_width(deltas.sparkSession), "key", "day").sortWithinPartitions("key", "day", F.col("arrival").asc_nulls_first(), "minute")
-    return lines.mapInPandas(_fold(grace_minutes, 60 * cutoff_hours), STATE)
+    return lines.mapInPandas(_fold(grace_minutes, 60 * cutoff_hours, hourly), HOURS if hourly else STATE)
 
 
 def deltas_of(rows: DataFrame, key: Column, event_time: Column, arrived_at: Column) -> DataFrame:
@@ -216,7 +221,7 @@ def hourly_counts(rows: DataFrame, key: Column, event_time: Column, arrived_at:
     only), ``n_late`` the sum of the corrections of the hour. Ties of arrival are taken in the order of
     event time; the result does not depend on it. An empty table gives no rows.
     """
-    return outputs_of(replay(deltas_of(rows, key, event_time, arrived_at), None, grace_minutes, cutoff_hours))
+    return replay(deltas_of(rows, key, event_time, arrived_at), None, grace_minutes, cutoff_hours, hourly=True)
 
 
 class HourlyReplay:
