@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gatewarden.llm import bitwise, bpe, languages, leaks, pii, pii_examples, sentences
+from gatewarden.llm import bitwise, bpe, languages, leaks, sentences
 from gatewarden.llm.fold import tokens
 
 RECORD = "origin string, record_id string, text string, label string, source string, publisher_id string"
@@ -185,58 +185,6 @@ def test_language_cases(spark, model):
     assert languages.record_table(spark.createDataFrame(rows, RECORD), model).count() == 5
 
 
-@pytest.fixture(scope="module")
-def field():
-    return pii.SpanField().fit([*pii_examples.generated(1500, seed=11), *pii_examples.ordinary(["Compare Mardel with Torvin for dog owners. Rank Abel, Cordan and Mist by price."] * 20)])
-
-
-def test_field_on_held_out_texts(field):
-    right = found = true = 0
-    for text, spans in pii_examples.generated(500, seed=99):
-        got, want = set(pii.find(field, text)), set(spans)
-        right, found, true = right + len(got & want), found + len(got), true + len(want)
-    assert right / found > 0.9 and right / true > 0.85
-
-
-def test_field_examples(field):
-    cases = {
-        "You can reach me at tess.v@mail.example any time.": ["email"], "cc jo9 at post dot example dot org on it": ["email"], "My number is (444) 555-0194, call after six.": ["phone"],
-        "The order code 6685-8075-7815 belongs to Mellasor.": [], "Traffic from 10.229.4.12 reached Ulvatra on port 8080.": [], "Mi DNI es 52990811-Y, para el formulario.": ["id_number"],
-        "Our flat is at 140 Tinder St., North Bay, third floor.": ["address"], "My name is Hannah Marlow, in case you need it.": ["name"], "": [], "1": [],
-        "Write to a​nna@mail.example now": ["email"],
-    }
-    for text, want in cases.items():
-        assert [t for _, _, t in pii.find(field, text)] == want, text
-    assert pii.redact("ab cd", [(0, 2, "name")]) == "[NAME] cd"
-
-
-def test_spans_never_overlap(field):
-    for text, _ in pii_examples.generated(200, seed=5):
-        spans = pii.find(field, text + " " + text)
-        assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
-
-
-def test_marginals_are_those_of_all_segmentations():
-    f = pii.SpanField({"a": [1.0, 0.2, 0, 0, 0.0], "b": [0.5, -1.0, 0, 0, 2.0], "c": [0, 0, 0.3, 0, 0]})
-    spans = [(0, 4, ["a"], None), (2, 6, ["b"], None), (6, 9, ["c"], None)]
-    s = [f.scores(x[2]) for x in spans]
-    ways = [((), 0.0)]
-    for i, (a, b, _, _) in enumerate(spans):
-        ways += [((*w, (i, t)), v + s[i][t]) for w, v in list(ways) for t in range(5) if all(spans[j][1] <= a for j, _ in w)]
-    z = sum(np.exp(v) for _, v in ways)
-    got = f._marginals(spans)
-    for i in range(3):
-        for t in range(5):
-            assert got[i][t] == pytest.approx(sum(np.exp(v) for w, v in ways if (i, t) in w) / z)
-
-
-def test_kinds_and_redaction(spark, field):
-    rows = [("request", "a", "Call me on +44 7700 900123 or jo@mail.example.", None, None, None), ("request", "a", "Call me on +44 7700 900123 or jo@mail.example.", None, None, None), ("document", "1", "", None, None, None)]
-    df = spark.createDataFrame(rows, RECORD)
-    assert sorted(tuple(r) for r in pii.find_kinds(df, field).collect()) == [("request", "a", "email"), ("request", "a", "phone")]
-    assert [r.text for r in pii.redacted_table(df, field).where("record_id = 'a'").collect()] == ["Call me on [PHONE] or [EMAIL]."] * 2
-
-
 def test_folding():
     assert tokens("Ｃafé​, DÉJÀ-vu 12 日本x") == ["cafe", "deja", "vu", "12", "日", "本", "x"]
     assert tokens("तुलना कीजिए, ज़िक्र") == ["तुलना", "कीजिए", "ज़िक्र"]
