@@ -36,6 +36,11 @@ def iso_text(c: Column, default: str = "2023-01-01T00:00:00+00:00") -> Column:
     return F.coalesce(F.date_format(iso_timestamp(c), "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), F.lit(default))
 
 
+def assigned_ms(c: Column) -> Column:
+    """Event time in milliseconds that a stream is ordered by; 0 for a text that cannot be read."""
+    return F.coalesce(F.unix_millis(iso_timestamp(c)), F.lit(0).cast("bigint"))
+
+
 def epoch_ms(c: Column) -> Column:
     return F.unix_millis(c.cast("timestamp"))
 

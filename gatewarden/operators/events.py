@@ -55,7 +55,7 @@ def raw_request(event: str = "event") -> Column:
     )
 
 
-def fraud_context(verdict: Column, score: Column, reasons: Column, source: str = "stream") -> Column:
+def fraud_context(verdict: Column, score: Column, reasons: Column, source: str = "flink") -> Column:
     return F.struct(F.lit(source).alias("source"), verdict.alias("verdict"), score.alias("score"), reasons.alias("reasons"))
 
 
@@ -71,7 +71,7 @@ def moderation_context(verdict: Column, method: Column, score: Column, reasons:
     )
 
 
-BLOCK_SOURCES, BLOCK_VERDICTS = ("stream", "rfc_scoring", "moderation"), ("fraud", "unsafe")
+BLOCK_SOURCES, BLOCK_VERDICTS = ("flink", "rfc_scoring", "moderation"), ("fraud", "unsafe")
 
 
 def blocked(request: Column, source: Column, verdict: Column, score: Column, reasons: Column) -> Column:
@@ -83,7 +83,7 @@ def blocked(request: Column, source: Column, verdict: Column, score: Column, rea
 
 def parse_error_envelope(value: Column, error: Column) -> Column:
     """Envelope of an unreadable message: fraud with score 1, holding the raw text."""
-    return F.struct(F.lit("stream").alias("source"), F.lit("fraud").alias("verdict"), F.lit(1.0).alias("score"), F.array(error).alias("reasons"), F.struct(value.alias("raw")).alias("request"))
+    return F.struct(F.lit("flink").alias("source"), F.lit("fraud").alias("verdict"), F.lit(1.0).alias("score"), F.array(error).alias("reasons"), F.struct(value.alias("raw")).alias("request"))
 
 
 def topic(verdict: Column) -> Column:
@@ -91,8 +91,14 @@ def topic(verdict: Column) -> Column:
     return F.try_element_at(routes, verdict)
 
 
+def json_list(texts: Column) -> Column:
+    """Texts as a JSON array with a space after each comma."""
+    quoted = F.transform(texts, lambda t: F.concat(F.lit('"'), F.regexp_replace(t, r'(["\\\\])', r"\\\\$1"), F.lit('"')))
+    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
+
+
 def log_line(verdict: Column, req_id: Column, score: Column, reasons: Column, to: Column) -> Column:
-    return F.format_string("[%s] req_id=%s score=%.3f reasons=%s topic=%s", F.upper(verdict), req_id, score, F.to_json(reasons), to)
+    return F.format_string(f"{config.LOG_PREFIX} %s req_id=%s score=%.3f reasons=%s -> %s", F.upper(verdict), req_id, score, json_list(reasons), to)
 
 
 def is_suspicious(verdict: Column) -> Column:
@@ -108,10 +114,44 @@ def nested_or_own(own: Column, nested: Column) -> Column:
     return F.coalesce(F.nullif(own, F.lit("")), F.nullif(nested, F.lit("")))
 
 
-def turns(df: DataFrame, conversation: str, role: str = "user") -> DataFrame:
+def turns(df: DataFrame, conversation: str, own: str | None = None, role: str = "user") -> DataFrame:
     """One row per turn of the role (a turn without role is the user's) with its place; blank prompts dropped.
 
-    Null and empty conversations give no turns.
+    A row with a null or empty conversation is its own single turn, with the prompt in the column ``own``;
+    a turn without content takes that prompt too. Without ``own`` such rows give no turns.
     """
-    x = df.select("*", F.posexplode(F.col(conversation)).alias("turn", "__t")).withColumn("content", F.col("__t.content"))
+    prompt = F.col(own) if own else F.lit(None).cast("string")
+    x = df.select("*", F.posexplode_outer(F.col(conversation)).alias("turn", "__t")).withColumn("content", F.coalesce(F.nullif(F.col("__t.content"), F.lit("")), prompt))
+    x = x.withColumn("turn", F.coalesce("turn", F.lit(0)))
     return x.where(F.coalesce(F.col("__t.role"), F.lit("user")) == role).where(strip(F.coalesce("content", F.lit(""))) != "").drop("__t")
+
+
+def feature_event(topic: Column, event: str = "event") -> Column:
+    """VARIANT of the event that features are read from: of a blocked message the request within, else the message."""
+    inner = F.try_variant_get(F.col(event), "$.request", "variant")
+    is_object = F.coalesce(F.schema_of_variant(inner).startswith("OBJECT"), F.lit(False))
+    return F.when((topic == config.TOPICS["fraud"]) & is_object, inner).otherwise(F.col(event))
+
+
+def header_value(header: Column, *names: str) -> Column:
+    """First of the named values of a header given as JSON text; null for any other text."""
+    v = maybe_json(header)
+    return F.coalesce(*[F.nullif(F.try_variant_get(v, f"$['{n}']", "string"), F.lit("")) for n in names])
+
+
+def enriched(event: str = "event") -> Column:
+    """Struct of an enriched request: the raw request with the contexts of the stages it has passed, with the defaults of missing or mistyped parts."""
+    number = lambda path, default: F.coalesce(F.try_variant_get(F.col(event), path, "double"), F.lit(default))
+    flag = lambda path: F.coalesce(F.try_variant_get(F.col(event), path, "boolean"), F.lit(False))
+    word = lambda path, default: F.coalesce(F.nullif(text_at(path, event), F.lit("")), F.lit(default))
+    fraud = F.struct(word("$.fraud.source", "flink").alias("source"), word("$.fraud.verdict", "clean").alias("verdict"), number("$.fraud.score", 0.0).alias("score"), reasons_at("$.fraud.reasons", event).alias("reasons"))
+    model = F.struct(
+        text_at("$.rfc.source", event).alias("source"), text_at("$.rfc.verdict", event).alias("verdict"), number("$.rfc.score", 0.0).alias("score"), text_at("$.rfc.model_version", event).alias("model_version"),
+        number("$.rfc.threshold", 0.5).alias("threshold"), reasons_at("$.rfc.reasons", event).alias("reasons"),
+    )
+    judged = F.struct(
+        word("$.moderation.verdict", "clean").alias("verdict"), word("$.moderation.method", "tfidf_gate").alias("method"), number("$.moderation.score", 0.0).alias("score"), reasons_at("$.moderation.reasons", event).alias("reasons"),
+        number("$.moderation.similarity_score", 0.0).alias("similarity_score"), number("$.moderation.similarity_threshold", 0.30).alias("similarity_threshold"), text_at("$.moderation.reference_version", event).alias("reference_version"),
+        flag("$.moderation.openai_called").alias("openai_called"), text_at("$.moderation.openai_reason", event).alias("openai_reason"), flag("$.moderation.openai_error").alias("openai_error"),
+    )
+    return F.struct(raw_request(event).alias("request"), fraud.alias("fraud"), model.alias("rfc"), judged.alias("moderation"))

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewarden import config
+from gatewarden.operators.events import blocked, model_context
 
-COLUMNS = ("stream_fraud_score", "asn", "prompt_length", "contains_scam_keyword", "reason_count", "has_user_agent_signal", "has_burst_signal")
+COLUMNS = ("flink_fraud_score", "asn", "prompt_length", "contains_scam_keyword", "flink_reason_count", "has_user_agent_signal", "has_burst_signal")
 
 
 def features(score: Column, asn: Column, prompt: Column, reasons: Column) -> dict[str, Column]:
@@ -22,8 +23,8 @@ def features(score: Column, asn: Column, prompt: Column, reasons: Column) -> dic
     text = F.coalesce(prompt, F.lit(""))
     any_of = lambda names: F.arrays_overlap(why, F.array(*map(F.lit, names))).cast("int")
     return {
-        "stream_fraud_score": F.coalesce(score.cast("double"), F.lit(0.0)), "asn": F.coalesce(asn.cast("double"), F.lit(0.0)), "prompt_length": F.length(text).cast("double"),
-        "contains_scam_keyword": text.rlike(f"(?i){config.SCAM_WORDS}").cast("int"), "reason_count": F.size(why).cast("double"),
+        "flink_fraud_score": F.coalesce(score.cast("double"), F.lit(0.0)), "asn": F.coalesce(asn.cast("double"), F.lit(0.0)), "prompt_length": F.length(text).cast("double"),
+        "contains_scam_keyword": text.rlike(f"(?i){config.SCAM_WORDS}").cast("int"), "flink_reason_count": F.size(why).cast("double"),
         "has_user_agent_signal": any_of(config.UA_REASONS), "has_burst_signal": any_of(config.BURST_REASONS),
     }
 
@@ -64,3 +65,12 @@ def load(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
 
 def resolve_threshold(given: float | None, meta: dict, default: float = 0.5) -> float:
     return given if given is not None else meta.get("threshold", default)
+
+
+def score_messages(scored: DataFrame, request: Column, version: str, threshold: float = 0.5) -> DataFrame:
+    """(topic, value) of scored suspicious events: blocked from the threshold on, else cleared; both carry the model's context."""
+    context = model_context(F.col("model_verdict"), F.col("fraud_probability"), F.lit(version), F.lit(threshold))
+    bad = F.col("model_verdict") == "fraud"
+    r = scored.withColumn("__q", request).withColumn("__q", F.col("__q").withField("rfc", context))
+    stopped = blocked(F.col("__q"), F.lit("rfc_scoring"), F.lit("fraud"), F.col("fraud_probability"), F.array().cast("array<string>"))
+    return r.select(F.when(bad, config.TOPICS["fraud"]).otherwise(config.TOPICS["clean"]).alias("topic"), F.when(bad, F.to_json(stopped)).otherwise(F.to_json("__q")).alias("value"))

@@ -32,7 +32,7 @@ def first_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
 
 
 def export_status(events: DataFrame, labels: DataFrame, exported: DataFrame, key: str, order: str) -> DataFrame:
-    """Number of events by what the export does with them.
+    """Number of events by what the export does with them, and of all events (``consumed``).
 
     The place of an event among those of its key is a window by key; only the first matters, so it is found
     by a map-side minimum and joined on the unique order value.
@@ -47,7 +47,8 @@ def export_status(events: DataFrame, labels: DataFrame, exported: DataFrame, key
         F.when(F.col(key).isNull(), "no_req_id").when(F.col("__done"), "already_exported").when(F.col("__is_first").isNull(), "duplicate_topic")
         .when(F.col("__labelled").isNull(), "skipped_unlabeled").otherwise("exported")
     )
-    return marked.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    counted = marked.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    return counted.unionByName(events.agg(F.count("*").alias("n")).withColumn("status", F.lit("consumed")))
 
 
 def risk_rollup(df: DataFrame, key: str, label: str, score: str | None, names: tuple[str, ...]) -> DataFrame:
@@ -81,3 +82,8 @@ def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.8, se
     j = inside.join(placed.withColumnRenamed("__b", "__b2"), (F.col("__b") == F.col("__b2")) & F.col(label).eqNullSafe(F.col("__l")))
     rank = F.col("__r") + F.col("__before")
     return j.withColumn("is_train", (F.col("__all") < 2) | (rank <= F.floor(F.lit(share) * F.col("__all")))).select(*df.columns, "is_train")
+
+
+def export_rows(events: DataFrame, labels: DataFrame, key: str, order: str) -> DataFrame:
+    """Events with the last label of their key and the time of the export (``exported_at``, seconds)."""
+    return label_join(events, labels, key, order).withColumn("exported_at", F.unix_timestamp())

@@ -22,8 +22,8 @@ def _text(c: str) -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def negative_prompt() -> Column:
-    return _text("prompt").rlike(f"(?i){config.NEGATIVE_PROMPT}")
+def negative_prompt(pattern: str = config.NEGATIVE_PROMPT) -> Column:
+    return _text("prompt").rlike(f"(?i){pattern}")
 
 
 def bad_user_agent() -> Column:
@@ -43,14 +43,14 @@ def canonical_language(c: Column) -> Column:
 def geo_language_mismatch() -> Column:
     """A language with known countries, used in a country known for other languages only."""
     language, country = canonical_language(F.col("language")), F.upper(strip(_text("country")))
-    expected = F.create_map(*[x for k, v in config.LANGUAGE_COUNTRIES.items() for x in (F.lit(k), F.array(*map(F.lit, v.split())))])
-    known = sorted({c for v in config.LANGUAGE_COUNTRIES.values() for c in v.split()})
+    expected = F.create_map(*[x for k, v in config.LANGUAGE_COUNTRIES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    known = sorted({c for v in config.LANGUAGE_COUNTRIES.values() for c in v})
     there = F.try_element_at(expected, language)
     return F.coalesce(there.isNotNull() & (language != "english") & country.isin(*known) & ~F.array_contains(there, country), F.lit(False))
 
 
-def with_stateless(df: DataFrame) -> DataFrame:
-    return df.withColumns({"negative_prompt": negative_prompt(), "bad_user_agent": bad_user_agent(), "asn_risk": asn_risk(), "geo_language_mismatch": geo_language_mismatch()})
+def with_stateless(df: DataFrame, pattern: str = config.NEGATIVE_PROMPT, asns=config.RISKY_ASNS) -> DataFrame:
+    return df.withColumns({"negative_prompt": negative_prompt(pattern), "bad_user_agent": bad_user_agent(), "asn_risk": asn_risk(asns), "geo_language_mismatch": geo_language_mismatch()})
 
 
 def _value(c: str) -> Column:
@@ -98,36 +98,40 @@ def similar(prompt: str, earlier: list[str], ratio: float) -> bool:
     return False
 
 
-def with_prompt_replay(df: DataFrame, cfg: RuleConfig = RuleConfig(), exact: bool = False) -> DataFrame:
-    """Adds ``prompt_replay``: the prompt repeats, the same or nearly, an earlier one of the session's window.
+def prompt_replays(df: DataFrame, cfg: RuleConfig = RuleConfig(), exact: bool = False) -> DataFrame:
+    """``seq`` of the rows whose prompt repeats, the same or nearly, an earlier one of the session's window.
 
-    ``exact`` compares in the JVM and finds equal prompts only. Blank prompts, and rows without session
-    or time, are never replays.
+    Only session, time and prompt travel. ``exact`` compares in the JVM and finds equal prompts only. Blank
+    prompts, and rows without session or time, are never replays.
     """
     window = cfg.ms("replay_s")
-    x = df.withColumn("__p", F.nullif(F.lower(collapse_space(F.col("prompt"))), F.lit("")))
-    rest = x.where("session_id is null or ts is null").withColumn("prompt_replay", F.lit(False)).drop("__p")
-    b = w.blocked(x, "session_id", window)
+    x = df.select("seq", "ts", "session_id", F.nullif(F.lower(collapse_space(F.col("prompt"))), F.lit("")).alias("__p")).where("__p is not null")
     if exact:
-        b = b.withColumn("prompt_replay", F.col("__p").isNotNull() & ~w.first_seen("session_id", "__p", window))
-        return w.unblocked(b).drop("__p").unionByName(rest)
-    b = b.sortWithinPartitions("session_id", w.BLOCK, "ts", "seq")
+        b = w.blocked(x.withColumn("__p", F.md5("__p")), "session_id", window)
+        return w.unblocked(b.where(~w.first_seen("session_id", "__p", window))).select("seq")
+    b = w.blocked(x, "session_id", window).sortWithinPartitions("session_id", w.BLOCK, "ts", "seq")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, past = None, []
         for pdf in frames:
-            flags = []
-            for s, block, ts, p in zip(pdf["session_id"], pdf[w.BLOCK], pdf["ts"], pdf["__p"]):
+            found = []
+            for s, block, ts, seq, p, halo in zip(pdf["session_id"], pdf[w.BLOCK], pdf["ts"], pdf["seq"], pdf["__p"], pdf[w.HALO]):
                 if key != (s, block):
                     key, past = (s, block), []
-                past = [(t, q) for t, q in past if t >= ts - window]
-                flags.append(p is not None and similar(p, [q for _, q in past], cfg.replay_ratio))
-                if p is not None:
-                    past.append((ts, p))
-            yield pd.DataFrame({"__seq": pdf["seq"], "__h": pdf[w.HALO], "prompt_replay": flags})
+                if past and past[0][0] < ts - window:
+                    past = [(t, q) for t, q in past if t >= ts - window]
+                if past and not halo and similar(p, [q for _, q in past], cfg.replay_ratio):
+                    found.append(seq)
+                past.append((ts, p))
+            yield pd.DataFrame({"seq": pd.Series(found, dtype="int64")})
+
+    return b.select("session_id", w.BLOCK, "ts", "seq", "__p", w.HALO).mapInPandas(run, "seq bigint")
 
-    flags = b.select("session_id", w.BLOCK, "ts", "seq", "__p", w.HALO).mapInPandas(run, "__seq bigint, __h boolean, prompt_replay boolean").where("not __h").drop("__h")
-    return x.drop("__p").join(flags, F.col("seq") == F.col("__seq"), "left").drop("__seq").withColumn("prompt_replay", F.coalesce("prompt_replay", F.lit(False)))
+
+def with_prompt_replay(df: DataFrame, cfg: RuleConfig = RuleConfig(), exact: bool = False) -> DataFrame:
+    """Adds ``prompt_replay`` to the rows (see ``prompt_replays``)."""
+    found = prompt_replays(df, cfg, exact).select(F.col("seq").alias("__seq"))
+    return df.join(found, F.col("seq") == F.col("__seq"), "left").withColumn("prompt_replay", F.col("__seq").isNotNull()).drop("__seq")
 
 
 def publisher_signals(df: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
@@ -166,20 +170,6 @@ def publisher_signals(df: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFram
     return b.unionByName(rest, allowMissingColumns=True).drop("__ip", "__se", "__pr", "__co", "__bad", "__flag")
 
 
-def is_cycle(sequence: list[str], min_uas: int = 3) -> bool:
-    """Whether the values repeat a cycle: positions up to the last first occurrence, at least two full
-    segments, all equal; a partial tail is ignored."""
-    seen: list[str] = []
-    size = 0
-    for i, v in enumerate(sequence):
-        if v not in seen:
-            seen.append(v)
-            size = i + 1
-    if len(seen) < min_uas or len(sequence) < 2 * size:
-        return False
-    return all(sequence[k : k + size] == sequence[:size] for k in range(0, len(sequence) - size + 1, size))
-
-
 def with_ua_rotation(df: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
     """Rotation as documented: the window's user agents of the publisher repeat a cycle.
 
@@ -225,9 +215,18 @@ PUBLISHER_RULES = (
 )
 
 
+#: Columns that the look-back rules need; the prompt goes as a digest.
+_NARROW = ("seq", "ts", "session_id", "publisher_id", "user_ip", "user_agent", "country", "asn")
+
+
 def detect(df: DataFrame, cfg: RuleConfig = RuleConfig(), exact_replay: bool = False) -> DataFrame:
-    """All 22 rules: session windows, then publisher windows (they use the session's), then the rest, score and verdict."""
-    x = with_prompt_replay(session_signals(df, cfg), cfg, exact_replay)
+    """All 22 rules: session windows, then publisher windows (they use the session's), then the rest, score and verdict.
+
+    ``seq`` is unique. The windows are made on the narrow columns; their flags join the whole rows once, by seq.
+    """
+    narrow = df.select(*_NARROW, F.md5(_value("prompt")).alias("prompt"))
+    replayed = prompt_replays(df, cfg, exact_replay).select(F.col("seq").alias("__seq"))
+    x = session_signals(narrow, cfg).join(replayed, F.col("seq") == F.col("__seq"), "left").withColumn("prompt_replay", F.col("__seq").isNotNull()).drop("__seq")
     any_session = [F.coalesce(F.col(r), F.lit(False)) for r in SESSION_RULES]
     flagged = any_session[0]
     for c in any_session[1:]:
@@ -235,4 +234,6 @@ def detect(df: DataFrame, cfg: RuleConfig = RuleConfig(), exact_replay: bool = F
     x = publisher_signals(x.withColumn("session_flagged", flagged), cfg)
     if not cfg.compat:
         x = with_ua_rotation(x.drop("publisher_ua_rotation"), cfg)
-    return scored(with_stateless(x), STATELESS + SESSION_RULES + PUBLISHER_RULES, cfg)
+    added = [c for c in x.columns if c not in (*_NARROW, "prompt")]
+    joined = df.join(x.select(F.col("seq").alias("__seq"), *added), F.col("seq") == F.col("__seq")).drop("__seq")
+    return scored(with_stateless(joined), STATELESS + SESSION_RULES + PUBLISHER_RULES, cfg)

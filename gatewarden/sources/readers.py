@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gatewarden.config import LOG_LINE
 from gatewarden.operators.events import parse_json
 
 MESSAGE = "topic string, value string"
@@ -64,16 +65,17 @@ def folder_rows(spark: SparkSession, folder: str, schema: str | T.StructType) ->
     return lines.unionByName(columns, allowMissingColumns=True)
 
 
-#: Fixed value: layout of a log line, as written by ``events.log_line``.
-LOG_LINE = r"^\[(\w+)\] req_id=(\S*) score=([\d.]+) reasons=(\[.*\]) topic=(\S+)$"
-
-
 def read_log(lines: DataFrame, value: str = "value") -> DataFrame:
     """Verdict, req_id, score, reasons and topic of each log line; other lines are dropped."""
     at = lambda i: F.regexp_extract(value, LOG_LINE, i)
     return lines.where(F.col(value).rlike(LOG_LINE)).select(F.lower(at(1)).alias("verdict"), at(2).alias("req_id"), at(3).cast("double").alias("score"), F.from_json(at(4), "array<string>").alias("reasons"), at(5).alias("topic"))
 
 
+def with_labels(messages: DataFrame, labels: DataFrame, key: str = "req_id") -> DataFrame:
+    """Messages with the label of their request, for a look at a topic; unlabelled ones keep a null label."""
+    return messages.withColumn(key, F.try_variant_get(F.try_parse_json("value"), f"$.{key}", "string")).join(labels, key, "left")
+
+
 def debug_view(messages: DataFrame, chars: int = 800) -> DataFrame:
     return messages.select("topic", F.substring("value", 1, chars).alias("value"))
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gatewarden import config
 from gatewarden.datagen import attacks
 from gatewarden.functions.text import first_non_empty, normalise, term_hit
-from gatewarden.operators import evaluate, events, features, history, moderation
+from gatewarden.config import RuleConfig
+from gatewarden.operators import evaluate, events, features, history, moderation, rules
 from gatewarden.sources import readers, writers
 from gatewarden.streaming import detector
 
@@ -30,7 +31,7 @@ def test_reasons_are_always_a_list(spark):
 
 def test_blocked_envelope_refuses_unknown_verdicts(spark):
     q = F.struct(F.lit("t").alias("event_time"), F.lit("r").alias("req_id"), F.lit("p").alias("publisher_id"))
-    make = lambda v: spark.range(1).select(events.blocked(q, F.lit("stream"), F.lit(v), F.lit(1.0), F.array(F.lit("x"))).alias("b"))
+    make = lambda v: spark.range(1).select(events.blocked(q, F.lit("flink"), F.lit(v), F.lit(1.0), F.array(F.lit("x"))).alias("b"))
     assert make("fraud").first().b.req_id == "r"
     with pytest.raises(Exception, match="no such source"):
         make("clean").collect()
@@ -53,7 +54,7 @@ def test_history(spark):
     labels = spark.createDataFrame([("a", 0, 1), ("a", 1, 2), ("c", 1, 1)], "k string, y int, o bigint")
     assert sorted((r.k, r.y) for r in history.label_join(ev.drop("o"), labels, "k", "o").collect()) == [("a", 1), ("a", 1), ("c", 1)]
     got = {r.status: r.n for r in history.export_status(ev, labels, ev.where("k = 'c'"), "k", "o").collect()}
-    assert got == {"exported": 1, "duplicate_topic": 1, "skipped_unlabeled": 1, "no_req_id": 1, "already_exported": 1}
+    assert got == {"exported": 1, "duplicate_topic": 1, "skipped_unlabeled": 1, "no_req_id": 1, "already_exported": 1, "consumed": 5}
     assert {(r.k, r.o) for r in history.first_per_key(ev, "k", "o").collect()} == {("a", 1), ("b", 3), (None, 4), ("c", 5)}
 
 
@@ -94,23 +95,56 @@ def test_features_and_model(spark, tmp_path):
 
 
 def test_provider_judges_each_text_once_and_allows_on_error(spark):
-    df = spark.createDataFrame([(1, "bad"), (2, "bad"), (3, "ok"), (4, None)], "i int, t string")
-    out = moderation.with_provider(df, "i", "t", lambda ts: [(t == "bad", 0.123456, ["hate/threat"]) for t in ts])
-    assert {r.i: (r.flagged, r.provider_score) for r in out.collect()} == {1: (True, 0.1235), 2: (True, 0.1235), 3: (False, 0.1235), 4: (False, None)}
-
-    def broken(ts):
-        raise RuntimeError
-
-    assert {(r.flagged, r.provider_error) for r in moderation.with_provider(df.where("t is not null"), "i", "t", broken).collect()} == {(False, True)}
-
-
-def test_similarity(spark):
-    ref = spark.createDataFrame([(1, "steal saved passwords"), (2, "free coins")], "ref_id bigint, n string")
-    df = spark.createDataFrame([(1, "steal saved passwords"), (2, "zzz qqq"), (3, ""), (4, "free lunch")], "k bigint, n string")
-    got = {r.k: r for r in moderation.max_similarity(df, "k", "n", ref, "ref_id", "n").collect()}
-    assert got[1].similarity == pytest.approx(1.0) and got[1].ref_id == 1
-    assert got[2].similarity == 0 and got[2].ref_id is None and got[3].similarity == 0
-    assert 0 < got[4].similarity < 1 and got[4].ref_id == 2
+    df = spark.createDataFrame([(1, "bad"), (2, "bad"), (3, "ok"), (4, None), (5, "boom")], "i int, t string")
+
+    def judge(t):
+        if t == "boom":
+            raise RuntimeError("no answer")
+        return t == "bad", 1.2 if t == "bad" else 0.12345, ["hate/threat"]
+
+    got = {r.i: (r.flagged, r.provider_score, r.provider_error, r.provider_message) for r in moderation.with_provider(df, "i", "t", judge).collect()}
+    assert got == {1: (True, 1.0, False, ""), 2: (True, 1.0, False, ""), 3: (False, 0.123, False, ""), 4: (False, None, None, None), 5: (False, 0.0, True, "no answer")}
+    out = {r.i: (r.verdict, r.method, r.reasons, r.openai_called, r.openai_reason) for r in moderation.moderate(df, "i", "t", judge=judge, audit_share=1.0).collect()}
+    assert out[1] == ("unsafe", "openai", ["HATE_THREAT"], True, "") and out[3] == ("clean", "openai", ["HATE_THREAT"], True, "")
+    assert out[5] == ("clean", "openai_error_allow", ["openai_error_allowed"], True, "no answer")
+    rest = {r.i: (r.verdict, r.method, r.openai_called) for r in moderation.moderate(df, "i", "t", judge=judge, audit_share=0.0).collect()}
+    assert set(rest.values()) == {("clean", "tfidf_gate", False)} and len(rest) == 5
+
+
+def test_moderation_messages(spark):
+    df = spark.createDataFrame([(1, "free money today"), (2, "hello"), (3, None)], "i int, prompt string")
+    own = F.struct(F.lit("t").alias("event_time"), F.col("i").cast("string").alias("req_id"), F.lit("p").alias("publisher_id"), "prompt")
+    out = moderation.moderation_messages(moderation.moderate(df, "i", "prompt"), own, version="v")
+    got = {json.loads(r.value)["req_id"]: (r.topic, json.loads(r.value)) for r in out.collect()}
+    assert got["1"][0] == config.TOPICS["fraud"] and (got["1"][1]["source"], got["1"][1]["verdict"], got["1"][1]["reasons"]) == ("moderation", "unsafe", ["similarity_above_threshold"])
+    assert got["2"][0] == got["3"][0] == config.PASSED_TOPIC and got["2"][1]["moderation"]["method"] == "tfidf_gate"
+
+
+def test_scored_events_are_blocked_or_cleared(spark):
+    df = spark.createDataFrame([("a", 0.9), ("b", 0.1)], "id string, fraud_probability double").withColumn("model_verdict", F.when(F.col("fraud_probability") >= 0.5, "fraud").otherwise("clean"))
+    q = F.struct(F.lit("t").alias("event_time"), F.col("id").alias("req_id"), F.lit("p").alias("publisher_id"))
+    got = {json.loads(r.value)["req_id"]: (r.topic, json.loads(r.value)) for r in features.score_messages(df, q, "v1").collect()}
+    assert got["a"][0] == "requests.fraud" and got["a"][1]["source"] == "rfc_scoring" and got["a"][1]["request"]["rfc"]["model_version"] == "v1"
+    assert got["b"][0] == "requests.clean" and got["b"][1]["rfc"]["verdict"] == "clean"
+
+
+def test_similarity_against_brute_force(spark):
+    import math
+    from collections import Counter
+
+    refs, terms = ["steal saved passwords", "free coins"], ("win prize",)
+    texts = ["steal saved passwords", "zzz qqq", "", None, "free lunch", "win a prize", "free free coins coins"]
+    grams = lambda t: Counter(f" {w} "[i : i + n] for w in (t or "").split() for n in (3, 4, 5) for i in range(len(w) + 3 - n))
+    corpus = [grams(t) for t in (*refs, *terms)]
+    df_ = Counter(g for c in corpus for g in c)
+    vec = lambda c: {g: (1 + math.log(n)) * (math.log((1 + len(corpus)) / (1 + df_[g])) + 1) for g, n in c.items() if g in df_}
+    cos = lambda a, b: sum(x * b.get(g, 0) for g, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values())) if a and b else 0.0
+    ref = spark.createDataFrame(list(enumerate(refs, 1)), "ref_id bigint, n string")
+    got = {r.k: r for r in moderation.max_similarity(spark.createDataFrame(list(enumerate(texts)), "k bigint, n string"), "k", "n", ref, "ref_id", "n", terms).collect()}
+    for k, t in enumerate(texts):
+        each = [cos(vec(grams(t)), vec(c)) for c in corpus]
+        assert got[k].similarity == pytest.approx(max(each), abs=1e-8)
+        assert got[k].ref_id == (each.index(max(each)) + 1 if max(each) > 0 and each.index(max(each)) < 2 else None)
 
 
 def test_readers_and_writers(spark, tmp_path):
@@ -133,18 +167,52 @@ def test_readers_and_writers(spark, tmp_path):
 
 def test_log_lines_round_trip(spark):
     df = spark.range(1).select(events.log_line(F.lit("fraud"), F.lit("r1"), F.lit(0.7), F.array(F.lit("a"), F.lit("b")), F.lit("t")).alias("value"))
-    assert df.first().value == '[FRAUD] req_id=r1 score=0.700 reasons=["a","b"] topic=t'
+    assert df.first().value == '[flink-fraud] FRAUD req_id=r1 score=0.700 reasons=["a", "b"] -> t'
     assert tuple(readers.read_log(df).first()) == ("fraud", "r1", 0.7, ["a", "b"], "t")
 
 
-def test_streams_agree_with_batch(spark, tmp_path):
-    src = tmp_path / "in"
-    rows = [(i, f"s{i % 3}", i * 700) for i in range(60)]
-    spark.createDataFrame(rows, "seq bigint, session_id string, ts bigint").repartition(3).write.parquet(str(src))
-    stream = spark.readStream.schema("seq bigint, session_id string, ts bigint").option("maxFilesPerTrigger", 10).parquet(str(src))
-    detector.run_to_table(detector.session_counts(stream, 5000), str(tmp_path / "o"), str(tmp_path / "c"))
-    got = {r.seq: r.n for r in spark.read.parquet(str(tmp_path / "o")).collect()}
-    assert got == {s: sum(1 for q, k2, t2 in rows if k2 == k and t2 >= t - 5000 and q <= s) for s, k, t in rows}
+def _traffic(n=260):
+    import random
+
+    r = random.Random(9)
+    out = []
+    for i in range(n):
+        s = r.randrange(9)
+        out.append((
+            i, 1_700_000_000_000 + 2000 * i, f"s{s}" if s else None, r.choice(["9.9.9.9", "8.8.8.8", " ", f"7.7.7.{s}"]), r.choice(["Mozilla/5.0", "Mozilla/5.0", "curl/8", "", "Opera"]),
+            r.choice(["US", "us", "DE", "FR", None, "JP", "CN"]), r.choice([None, 9009, 1, 2]), r.choice(["buy this now please", "Buy  this now please", "another thing entirely", "", None, f"text {i}"]), r.choice(["English", "es", "German", None]), r.choice(["p", "p", "q", None]),
+        ))
+    return out
+
+
+TRAFFIC = "seq bigint, ts bigint, session_id string, user_ip string, user_agent string, country string, asn bigint, prompt string, language string, publisher_id string"
+
+
+def test_stream_of_all_rules_agrees_with_batch(spark, tmp_path):
+    cfg = RuleConfig(session_burst_max=3, publisher_burst_max=40, volume_min=8, volume_ratio=2.0, rate_min=5, geo_min=3)
+    df = spark.createDataFrame(_traffic(), TRAFFIC)
+    for k, (lo, hi) in enumerate(((0, 90), (90, 180), (180, 999))):  # three files, taken one by one in order
+        df.where(f"seq >= {lo} and seq < {hi}").coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+        part = next((tmp_path / f"part{k}").glob("*.parquet"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        part.rename(tmp_path / "in" / f"{k}.parquet")
+        stream = spark.readStream.schema(TRAFFIC).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        out = detector.detect_stream(stream, str(tmp_path / "between"), str(tmp_path / "out"), str(tmp_path / "check"), cfg, ttl_ms=3_600_000)
+    got = {r.seq: (r.score, r.verdict, sorted(r.reasons)) for r in out.collect()}
+    want = {r.seq: (r.score, r.verdict, sorted(r.reasons)) for r in rules.detect(df, cfg).collect()}
+    assert len(got) == out.count() == len(want) and got == want
+    assert len({x for _, _, rs in want.values() for x in rs}) >= 15
+
+
+def test_out_of_order_events_are_seen_as_they_arrive():
+    """An event of an earlier time sees later ones kept, and does not bring back what a later one outdated."""
+    s = detector.SessionState(RuleConfig(session_burst_max=2))
+    e = lambda ts: {"ts": ts, "user_ip": "", "country": "", "asn": "", "user_agent": "", "prompt": ""}
+    assert s.reasons(e(0)) == [] and s.reasons(e(200_000)) == []
+    assert s.reasons(e(1_000)) == []  # the event at 0 is gone, the one at 200,000 is seen
+    assert s.reasons(e(2_000)) == ["session_burst"]
+    again = detector.SessionState(RuleConfig(session_burst_max=2), s.save())
+    assert again.reasons(e(2_500)) == ["session_burst"]
 
 
 def test_routed_stream_and_dedup(spark, tmp_path):
@@ -157,22 +225,55 @@ def test_routed_stream_and_dedup(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).where("topic = 'raw'").count() == 2
 
 
+def _flat(rows):
+    return rows.select(F.xxhash64("event.req_id").alias("seq"), (F.unix_micros(F.to_timestamp("event.event_time")) / 1000).cast("bigint").alias("ts"), "event.request_context.*", "event.optional_context.*", "event.publisher_id", "event.prompt", "event.language", "event.req_id")
+
+
 def test_attack_families(spark):
     farm = attacks.INJECTORS["session_farm"](spark)
-    assert farm.count() == 2000 and farm.groupBy("session_id").count().where("count <> 4").count() == 0
-    cadence = attacks.INJECTORS["regular_cadence"](spark).where("seq < 4").orderBy("seq").collect()
+    assert farm.count() == 2000 and farm.groupBy("event.request_context.session_id").count().where("count <> 4").count() == 0
+    assert {(r.attack_id, r.injected, r.source_req_id, r.publisher_profile in ("fully_abusive", "mildly_abusive")) for r in farm.collect()} == {("session_farm_001", True, "source", True)}
+    cadence = _flat(attacks.INJECTORS["regular_cadence"](spark)).where("req_id like 'regular_cadence_0001_%'").orderBy("ts").collect()
     assert [b.ts - a.ts for a, b in zip(cadence, cadence[1:])] == [2000] * 3
-    geo = attacks.INJECTORS["geo_mismatch"](spark)
+    rows = {n: _flat(f(spark)).collect() for n, f in attacks.INJECTORS.items()}
+    for name, (sessions, (fewest, most), _, (low, high)) in config.ATTACKS.items():
+        by = {}
+        for r in rows[name]:
+            by.setdefault(r.session_id, []).append(r.ts)
+        assert len(by) == sessions and all(fewest <= len(v) <= most for v in by.values())
+        first = [sorted(v)[1] - sorted(v)[0] for v in by.values() if len(v) > 1 and fewest == most]
+        assert all(g <= high * 1000 * (most - 1) + 1 for g in first)
+    span = [r.ts for r in rows["slow_distributed_abuse"]]
+    assert 5 * 3_600_000 < max(span) - min(span) < 6.1 * 3_600_000 and 1500 < len(span) < 2100
     from gatewarden.operators.rules import geo_language_mismatch
 
-    assert geo.where(geo_language_mismatch()).count() > 800
-    parts = attacks.session_splits(farm, "session_id").groupBy("session_id").agg(F.count_distinct("split").alias("n"))
-    assert parts.where("n > 1").count() == 0
+    assert _flat(attacks.INJECTORS["geo_mismatch"](spark)).where(geo_language_mismatch()).count() > 700
     ip = spark.range(50).select(attacks.synthetic_ip(F.col("id").cast("string"), F.lit("US")).alias("ip")).collect()
     assert all(int(r.ip.split(".")[0]) in config.FIRST_OCTETS and int(r.ip.split(".")[3]) >= 1 for r in ip)
     assert spark.range(1).select(attacks.weighted_pick(["a", "b"], [1.0, 0.0], F.lit("x"))).first()[0] == "a"
 
 
+def test_attacks_copy_a_source_row(spark):
+    turns = spark.createDataFrame([(f"c{i}", None, 0, f"prompt {i}", "de", "German", "UA", "2024-05-01T00:00:00Z") for i in range(30)] + [(None, None, 0, "x", None, None, None, None), ("c1", "h", 1, " ", None, None, None, None), ("c1", "h", 2, "again", None, None, None, "soon")], "conversation_id string, hashed_ip string, turn int, content string, country string, language string, user_agent string, timestamp string")
+    clean = attacks.clean_rows(turns).collect()
+    assert len(clean) == 31 and {r.publisher_profile for r in clean} <= set(config.PUBLISHERS.values())
+    assert len({r.event.publisher_id for r in clean if r.event.request_context.session_id == "c1"}) == 1
+    last = next(r for r in clean if r.event.prompt == "again")
+    assert (last.event.optional_context.country, last.event.language, last.event.event_time) == ("US", "unknown", "2023-01-01T00:00:00+00:00") and last.event.request_context.user_agent in config.USER_AGENTS
+    both = attacks.with_attacks(attacks.clean_rows(turns, limit=5), "ua_rotation")
+    got = both.where("injected").select("source_req_id", "event.prompt", "event.optional_context.country", "event.request_context.user_agent").collect()
+    assert len(got) == 1200 and len({r.source_req_id for r in got}) == 1 and {r.country for r in got} == {"DE"} and {r.user_agent for r in got} == set(config.ROTATING_AGENTS)
+    assert attacks.with_attacks(clean and attacks.clean_rows(turns.limit(0)), "regular_cadence").count() == 800
+
+
+def test_splits_keep_sessions_and_meet_the_targets(spark):
+    df = spark.range(4000).select((F.col("id") % 700).cast("string").alias("s")).unionByName(spark.range(3).select(F.lit(None).cast("string").alias("s")))
+    out = attacks.session_splits(df, "s")
+    assert out.count() == 4003 and out.groupBy("s").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
+    got = {r.split: r["count"] for r in out.groupBy("split").count().collect()}
+    assert abs(got["train"] - 2800) <= 6 and abs(got["validation"] - 600) <= 6
+
+
 def test_first_non_empty(spark):
     df = spark.createDataFrame([(None, " ", "x"), (float("nan"), "y", "x"), (None, None, None)], "a double, b string, c string")
     assert [r[0] for r in df.select(first_non_empty(F.col("a"), F.col("b"), F.col("c"), default="d")).collect()] == ["x", "y", "d"]
@@ -180,8 +281,18 @@ def test_first_non_empty(spark):
 
 def test_turns(spark):
     conv = "array<struct<role: string, content: string>>"
-    df = spark.createDataFrame([(1, [("user", "hi"), ("assistant", "x"), (None, "yo"), ("user", " ")]), (2, []), (3, None)], f"i int, conversation {conv}")
+    df = spark.createDataFrame([(1, [("user", "hi"), ("assistant", "x"), (None, "yo"), ("user", " ")], "own"), (2, [], "b"), (3, None, "c"), (4, None, None)], f"i int, conversation {conv}, p string")
     assert [(r.i, r.turn, r.content) for r in events.turns(df, "conversation").orderBy("i", "turn").collect()] == [(1, 0, "hi"), (1, 2, "yo")]
+    assert [(r.i, r.turn, r.content) for r in events.turns(df, "conversation", "p").orderBy("i", "turn").collect()] == [(1, 0, "hi"), (1, 2, "yo"), (2, 0, "b"), (3, 0, "c")]
+
+
+def test_messages_are_unwrapped_and_read(spark):
+    inner = {"req_id": "r", "prompt": "p", "fraud": {"verdict": "fraud", "score": 0.9, "reasons": ["x"]}}
+    df = events.parse_json(spark.createDataFrame([("requests.fraud", json.dumps({"req_id": "r", "request": inner})), ("requests.clean", json.dumps(inner)), ("requests.fraud", json.dumps({"req_id": "q"}))], "topic string, value string"), "value")
+    got = df.withColumn("event", events.feature_event(F.col("topic"))).select(events.enriched().alias("e")).collect()
+    assert [(r.e.request.req_id, r.e.fraud.verdict, r.e.fraud.score, r.e.fraud.reasons, r.e.moderation.method) for r in got] == [("r", "fraud", 0.9, ["x"], "tfidf_gate")] * 2 + [("q", "clean", 0.0, [], "tfidf_gate")]
+    h = spark.createDataFrame([('{"User-Agent": "A"}',), ('{"user-agent": "B", "User-Agent": "A"}',), ("x",), (None,)], "h string")
+    assert [r[0] for r in h.select(events.header_value(F.col("h"), "user-agent", "User-Agent")).collect()] == ["A", "B", None, None]
 
 
 def test_cells_and_times(spark):

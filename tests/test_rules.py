@@ -67,8 +67,20 @@ def test_empty_user_agent_is_bad_for_the_rate_only(spark):
     assert rules.publisher_signals(df).where("publisher_bad_ua_rate").count() == 11
 
 
+def _cycles(values, least=3):
+    """Whether the values are one cycle over and over: its length is the place of the last value that is new."""
+    size = max(values.index(v) for v in set(values)) + 1
+    whole = len(values) // size
+    return len(set(values)) >= least and whole >= 2 and values[: whole * size] == values[:size] * whole
+
+
 def test_user_agent_cycle(spark):
-    assert rules.is_cycle(list("abcdeabcde")) and not rules.is_cycle(list("abcabd")) and rules.is_cycle(list("abcabca"))
+    assert _cycles(list("abcdeabcde")) and not _cycles(list("abcabd")) and _cycles(list("abcabca"))
+    r = random.Random(6)
+    agents = ["ABC"[i % 3] if r.random() < 0.97 else "D" for i in range(200)]
+    mixed = spark.createDataFrame([_event(i, 20_000 * i, ua=u) for i, u in enumerate(agents)], COLS)
+    got = {x.seq for x in rules.with_ua_rotation(mixed).where("publisher_ua_rotation").collect()}
+    assert got == {i for i in range(200) if len(w := agents[max(0, i - 30) : i + 1]) >= 10 and _cycles(w)}
     df = spark.createDataFrame([_event(i, 1000 * i, ua="ABCDE"[i % 5]) for i in range(15)], COLS)
     got = {r.seq for r in rules.with_ua_rotation(df).where("publisher_ua_rotation").collect()}
     assert got == {i for i in range(15) if i + 1 >= 10}
