@@ -148,7 +148,8 @@ def session_stage(events: DataFrame, cfg: RuleConfig = RuleConfig(), ttl_ms: int
 
     Events are taken in the order of ``seq`` within what arrives together; those out of event-time order are
     seen as they come. Rows without session or time pass with no reasons. ``ttl_ms`` forgets a key that has
-    been silent for so long (processing time).
+    been silent for so long (processing time); such a stream runs on and on, so it is for a continuous trigger
+    and not for a run to the end.
     """
     word = lambda c: F.coalesce(strip(F.col(c).cast("string")), F.lit(""))
     x = events.select(
@@ -177,13 +178,13 @@ def publisher_stage(rows: DataFrame, cfg: RuleConfig = RuleConfig(), ttl_ms: int
     return judged.select("seq", "score", "verdict", "reasons", topic(F.col("verdict")).alias("topic"))
 
 
-def detect_stream(events: DataFrame, between: str, folder: str, checkpoint: str, cfg: RuleConfig = RuleConfig(), ttl_ms: int | None = None) -> DataFrame:
+def detect_stream(events: DataFrame, between: str, folder: str, checkpoint: str, cfg: RuleConfig = RuleConfig()) -> DataFrame:
     """Both stages over all that is there now: session state, a table between (the keyed exchange is written, so a restart of
     either stage repeats nothing), publisher state, routed verdicts in ``folder``. Returns what is in the folder."""
     spark = events.sparkSession
-    first = session_stage(events, cfg, ttl_ms)
+    first = session_stage(events, cfg)
     run_to_table(first, between, f"{checkpoint}/session")
-    second = publisher_stage(spark.readStream.schema(first.schema).parquet(between), cfg, ttl_ms)
+    second = publisher_stage(spark.readStream.schema(first.schema).parquet(between), cfg)
     run_to_table(second, folder, f"{checkpoint}/publisher")
     return spark.read.schema(second.schema).parquet(folder)
 

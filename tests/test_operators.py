@@ -197,7 +197,7 @@ def test_stream_of_all_rules_agrees_with_batch(spark, tmp_path):
         (tmp_path / "in").mkdir(exist_ok=True)
         part.rename(tmp_path / "in" / f"{k}.parquet")
         stream = spark.readStream.schema(TRAFFIC).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-        out = detector.detect_stream(stream, str(tmp_path / "between"), str(tmp_path / "out"), str(tmp_path / "check"), cfg, ttl_ms=3_600_000)
+        out = detector.detect_stream(stream, str(tmp_path / "between"), str(tmp_path / "out"), str(tmp_path / "check"), cfg)
     got = {r.seq: (r.score, r.verdict, sorted(r.reasons)) for r in out.collect()}
     want = {r.seq: (r.score, r.verdict, sorted(r.reasons)) for r in rules.detect(df, cfg).collect()}
     assert len(got) == out.count() == len(want) and got == want
