@@ -77,8 +77,9 @@ def closest_sum(sizes: Sequence[tuple[int, int]], target: float, max_bits: int =
     """How many items of each (size, multiplicity) bring the sum closest to ``target``.
 
     Multiplicities are taken in powers of two. Reachable sums are the set bits of one integer per
-    item kept for the way back. Sums of over ``max_bits`` are counted in units of
-    ``ceil(limit / max_bits)`` rows, larger sizes first, and the error is at most half a unit an item.
+    item kept for the way back. Sums of over ``max_bits`` are first counted in units of
+    ``ceil(limit / max_bits)`` rows, larger sizes first; then a second bitset, of the differences that
+    putting in and taking out items of up to ``max_bits / 2`` rows can make, removes the error.
     """
     limit = int(min(sum(s * m for s, m in sizes), 2 * target + 1))
     unit = max(1, -(-limit // max_bits))
@@ -109,7 +110,39 @@ def closest_sum(sizes: Sequence[tuple[int, int]], target: float, max_bits: int =
         if best and not before >> best & 1:
             out[size] = out.get(size, 0) + take
             best -= weight
-    return out
+    return out if unit == 1 else _repaired(out, dict(sizes), target, max_bits // 2)
+
+
+def _repaired(taken: dict[int, int], sizes: dict[int, int], target: float, reach_rows: int) -> dict[int, int]:
+    """The selection with items put in or taken out so that its sum is as close to the target as a change of
+    ``reach_rows`` rows at most makes it."""
+    error = target - sum(s * n for s, n in taken.items())
+    mask, reach, steps = (1 << (2 * reach_rows + 1)) - 1, 1 << reach_rows, []
+    for size, many in sorted(sizes.items(), reverse=True):
+        if size > reach_rows:
+            continue
+        for sign, left in ((1, many - taken.get(size, 0)), (-1, taken.get(size, 0))):
+            left, block = min(left, 2 * reach_rows // size), 1
+            while left > 0:
+                n = min(block, left)
+                steps.append((size, sign * n, reach))
+                reach |= (reach << size * n) & mask if sign > 0 else reach >> size * n
+                left, block = left - n, block * 2
+    goal = reach_rows + error
+    below, above = min(int(goal), 2 * reach_rows), max(0, int(goal) + 1)
+    while below >= 0 and not reach >> below & 1:
+        below -= 1
+    while above <= 2 * reach_rows and not reach >> above & 1:
+        above += 1
+    best = above if above <= 2 * reach_rows and (below < 0 or above - goal < goal - below) else below
+    if best < 0:
+        return taken
+    out = dict(taken)
+    for size, n, before in reversed(steps):
+        if not before >> best & 1:
+            out[size] = out.get(size, 0) + n
+            best -= size * n
+    return {s: n for s, n in out.items() if n}
 
 
 def assign_splits(rows: DataFrame, key: str, left: Column, right: Column, shares: Sequence[tuple[str, float]] = (("test", 0.1), ("validation", 0.1)), rest: str = "train") -> DataFrame:

@@ -55,6 +55,13 @@ def test_session_keys(spark):
     assert [r[0] for r in df.select(splits.session_key(F.col("s"))).collect()] == [ok, ok] + [None] * 6
 
 
+def test_sums_beyond_the_bitset_are_exact_where_small_sizes_allow():
+    for sizes, target in (([(1, 30), (7, 2_000_000), (999_983, 9)], 5_000_010), ([(3, 4_000_000), (5, 900_000), (1_000_003, 12)], 17_994_000), ([(2, 10_000_000)], 4_000_001)):
+        got = splits.closest_sum(sizes, target)
+        assert all(0 <= got[s] <= dict(sizes)[s] for s in got)
+        assert abs(sum(s * n for s, n in got.items()) - target) == (1 if sizes[0][0] == 2 else 0)
+
+
 def test_closest_sums():
     r = random.Random(2)
     for _ in range(100):
