@@ -108,7 +108,7 @@ def prompt_replays(df: DataFrame, cfg: RuleConfig = RuleConfig(), exact: bool =
     x = df.select("seq", "ts", "session_id", F.nullif(F.lower(collapse_space(F.col("prompt"))), F.lit("")).alias("__p")).where("__p is not null")
     if exact:
         b = w.blocked(x.withColumn("__p", F.md5("__p")), "session_id", window)
-        return w.unblocked(b.where(~w.first_seen("session_id", "__p", window))).select("seq")
+        return w.unblocked(b.withColumn("__new", w.first_seen("session_id", "__p", window))).where("not __new").select("seq")
     b = w.blocked(x, "session_id", window).sortWithinPartitions("session_id", w.BLOCK, "ts", "seq")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

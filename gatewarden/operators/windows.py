@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gatewarden.workspace import shuffle_width
+
 BLOCK, HALO = "__block", "__halo"
 
 
@@ -26,7 +28,7 @@ def blocked(df: DataFrame, key: str, halo_ms: int, block_ms: int | None = None)
         df.where(F.col(key).isNotNull() & F.col("ts").isNotNull())
         .withColumn(BLOCK, F.explode(F.sequence(own, reaches)))
         .withColumn(HALO, F.col(BLOCK) != F.floor(F.col("ts") / size))
-        .repartition(F.col(key), F.col(BLOCK))
+        .repartition(shuffle_width(df.sparkSession), F.col(key), F.col(BLOCK))  # the work is per row, not per byte, so small partitions are not joined
     )
 
 
