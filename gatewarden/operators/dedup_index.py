@@ -5,12 +5,13 @@ sorted 16-byte digests of the identifiers first seen in that run, and beside the
 the copy that was kept. A batch is reduced to one row per identifier before it is shuffled (so a
 single identifier with a third of all rows costs one row per map task), each prefix then searches
 the arrays of the earlier runs by bisection, and what is new becomes the next run. Runs are merged
-every ``merge_every`` batches. At scale raise ``prefixes`` so that one prefix's arrays stay small
-(about 16 bytes per identifier): the work and memory of a task follow from identifiers / prefixes.
+every ``merge_every`` batches. The number of prefixes follows from the rows, so that one prefix's arrays stay
+small: the work and memory of a task follow from identifiers / prefixes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatewarden.functions.text import clean_id
-from gatewarden.workspace import shuffle_width, stored
+from gatewarden.workspace import new_path, shuffle_width, stored
 
 RUN_SCHEMA = "prefix int, ids binary, kept array<bigint>"
+#: Rows of a hash prefix at most, in the mean: 24 bytes each in the task that holds them.
+PREFIX_ROWS = 4_000_000
 
 
 def _sorted_ids(blob: bytes) -> np.ndarray:
@@ -68,13 +71,44 @@ class DedupIndex:
     smallest order value; identifiers of earlier batches are never kept again. Null and blank
     identifiers equal nothing: the index ignores them. Identifiers are compared by MD5 digest of the
     trimmed lower-case text.
+
+    Runs are tables under ``folder`` (one of the shared workspace if none is given). After each batch a
+    manifest names the runs that make up the index; ``open`` goes on from the last one.
     """
 
-    def __init__(self, spark: SparkSession, prefixes: int = 64, merge_every: int = 2):
+    def __init__(self, spark: SparkSession, prefixes: int = 64, merge_every: int = 2, folder: str | None = None):
         self.spark, self.prefixes, self.merge_every = spark, prefixes, merge_every
-        self.runs: list[DataFrame] = []
+        self.folder = folder or new_path(spark, "dedup-index")
+        self.paths: list[str] = []
+        self.version = 0
         self.merges = 0
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> DedupIndex:
+        """The index that was built in the folder; raises if there is none."""
+        rows = spark.read.schema("version int, prefixes int, merge_every int, paths array<string>").json(f"{folder}/manifest").orderBy(F.desc("version")).limit(1).collect()
+        if not rows:
+            raise ValueError(f"no index in {folder}")
+        last = rows[0]
+        index = cls(spark, last.prefixes, last.merge_every, folder)
+        index.version, index.paths = last.version, list(last.paths)
+        return index
+
+    @property
+    def runs(self) -> list[DataFrame]:
+        return [self.spark.read.schema(RUN_SCHEMA).parquet(p) for p in self.paths]
+
+    def _store(self, df: DataFrame, name: str) -> str:
+        path = f"{self.folder}/{name}-{self.version}-{uuid.uuid4().hex}"
+        stored(df, name, path)
+        return path
+
+    def _commit(self) -> None:
+        """The next manifest; runs that it does not name are no part of the index."""
+        self.version += 1
+        row = self.spark.createDataFrame([(self.version, self.prefixes, self.merge_every, self.paths)], "version int, prefixes int, merge_every int, paths array<string>")
+        row.coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
+
     def _index(self) -> DataFrame:
         out = self.spark.createDataFrame([], RUN_SCHEMA)
         for run in self.runs:
@@ -93,12 +127,13 @@ class DedupIndex:
             .repartition(width, "prefix")
         )
         known = self._index().select("prefix", "ids").repartition(width, "prefix")
-        run = stored(novel.groupBy("prefix").cogroup(known.groupBy("prefix")).applyInPandas(_ingest, RUN_SCHEMA), "dedup-run")
-        self.runs.append(run)
-        if len(self.runs) > self.merge_every:
-            self.runs = [stored(self._index().groupBy("prefix").applyInPandas(_merge, RUN_SCHEMA), "dedup-merged")]
+        path = self._store(novel.groupBy("prefix").cogroup(known.groupBy("prefix")).applyInPandas(_ingest, RUN_SCHEMA), "run")
+        self.paths.append(path)
+        if len(self.paths) > self.merge_every:
+            self.paths = [self._store(self._index().groupBy("prefix").applyInPandas(_merge, RUN_SCHEMA), "merged")]
             self.merges += 1
-        return run
+        self._commit()
+        return self.spark.read.schema(RUN_SCHEMA).parquet(path)
 
     def kept(self) -> DataFrame:
         """Order value of the one kept row of each identifier."""
@@ -116,7 +151,11 @@ def arrival_rounds(rows: DataFrame, order: str, rounds: int) -> Iterator[DataFra
 
 
 def build_index(rows: DataFrame, identifier: str, order: str, rounds: int = 3, **options) -> DedupIndex:
-    """Index of a whole table, taken in as ``rounds`` batches in arrival order."""
+    """Index of a whole table, taken in as ``rounds`` batches in arrival order.
+
+    There are as many hash prefixes as keep one prefix below ``PREFIX_ROWS`` rows, 64 at least.
+    """
+    options.setdefault("prefixes", max(64, -(-rows.count() // PREFIX_ROWS)))
     index = DedupIndex(rows.sparkSession, **options)
     for batch in arrival_rounds(rows.select(identifier, order), order, rounds):
         index.ingest(batch, F.col(identifier), F.col(order))

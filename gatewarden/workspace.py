@@ -30,10 +30,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/gatewarden/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once and return the table that was written."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = path or new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

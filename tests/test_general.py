@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gatewarden.functions.text import clean_id
 from gatewarden.functions.times import iso_hour, iso_timestamp
-from gatewarden.operators.dedup_index import build_index, exactly_once, superfluous
+from gatewarden.operators.dedup_index import DedupIndex, build_index, exactly_once, superfluous
 from gatewarden.operators.late_replay import HourlyReplay, ReplayState, hourly_counts
 
 ROWS = "delivery_id bigint, req_id string, prefix string"
@@ -38,7 +38,6 @@ def test_dedup_of_an_empty_table(spark):
 
 
 def test_later_batches_find_earlier_identifiers(spark):
-    from gatewarden.operators.dedup_index import DedupIndex
 
     index = DedupIndex(spark, prefixes=3, merge_every=1)
     for batch in ([(1, "a", ""), (2, "b", "")], [(3, "a", ""), (4, "c", "")], [(5, "c", ""), (6, "c", "")]):
@@ -137,3 +136,15 @@ def test_batches_agree_with_one(spark):
 def test_late_rows_of_an_empty_table(spark):
     df = spark.createDataFrame([], "key string, e timestamp, a timestamp")
     assert hourly_counts(df, F.col("key"), F.col("e"), F.col("a")).count() == 0
+
+
+def test_index_is_reopened(spark, tmp_path):
+    folder = str(tmp_path / "index")
+    rows = spark.createDataFrame([(i, f"id{i % 7}") for i in range(10)], "o bigint, k string")
+    index = DedupIndex(spark, prefixes=4, folder=folder)
+    index.ingest(rows.where("o < 5"), F.col("k"), F.col("o"))
+    again = DedupIndex.open(spark, folder)
+    again.ingest(rows.where("o >= 5"), F.col("k"), F.col("o"))
+    last = DedupIndex.open(spark, folder)
+    assert last.version == 2 and sorted(r[0] for r in last.kept().collect()) == list(range(7))
+    assert sorted(r[0] for r in superfluous(rows, last, "k", "o").collect()) == [7, 8, 9]
