@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from gatewarden.llm import bitwise
 from gatewarden.llm.broadcasts import bounded
 from gatewarden.llm.fold import fold, is_solid, tokens
+from gatewarden.workspace import stored
 
 _ENDS = re.compile(r"(?<=[.!?।])\s+|(?<=[。！？])")
 #: Numbers, and words with a capital inside the sentence.
@@ -116,9 +117,9 @@ class LeakIndex:
                 if s.solid is not solid or i in found:
                     continue
                 low = max(0, start - first - s.budget)
-                if (i, low // 4) in tried:
+                if (i, low) in tried:
                     continue
-                tried.add((i, low // 4))
+                tried.add((i, low))
                 n = len(s.words)
                 window = words[low : start - first + n + 2 * s.budget]
                 distance, to = bitwise.best_match(s.masks, n, window)
@@ -167,8 +168,8 @@ def is_solid_anywhere(text: str) -> bool:
     return not text.isascii() and any("㐀" <= c <= "鿿" or "฀" <= c <= "๿" or "぀" <= c <= "ヿ" for c in text)
 
 
-def _statistics(items: DataFrame, key: str, text: str, shared_by: int = 3, rare: int = 3) -> tuple[set[str], set[str]]:
-    """As ``statistics``, over all items wherever they are; what comes back is what many items share."""
+def _values(items: DataFrame, key: str, text: str) -> DataFrame:
+    """(kind, value, item): folded sentences (s) and words (w) of every item."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -179,16 +180,20 @@ def _statistics(items: DataFrame, key: str, text: str, shared_by: int = 3, rare:
                     out.update(("w", w, str(k)) for w in tokens(part))
             yield pd.DataFrame(list(out), columns=["kind", "value", "item"])
 
-    seen = items.select(key, text).mapInPandas(run, "kind string, value string, item string").groupBy("kind", "value").agg(F.count_distinct("item").alias("n"))
-    rows = seen.where((F.col("kind") == "s") & (F.col("n") >= shared_by) | (F.col("kind") == "w") & (F.col("n") > rare)).select("kind", "value").collect()
-    return {r["value"] for r in rows if r["kind"] == "s"}, {r["value"] for r in rows if r["kind"] == "w"}
+    return items.select(key, text).mapInPandas(run, "kind string, value string, item string")
+
+
+def _shared(values: DataFrame, shared_by: int = 3, rare: int = 3) -> DataFrame:
+    """(kind, value) as ``statistics`` finds them, over all items wherever they are."""
+    seen = values.groupBy("kind", "value").agg(F.count_distinct("item").alias("n"))
+    return seen.where((F.col("kind") == "s") & (F.col("n") >= shared_by) | (F.col("kind") == "w") & (F.col("n") > rare)).select("kind", "value")
 
 
 def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, block: int = 20_000) -> DataFrame:
     """(key, item key) of every document and item leaked in it.
 
-    The items are taken in blocks of at most ``block`` rows, each broadcast behind a size check, and
-    all documents are scanned against each block. Null and empty texts on either side match nothing;
+    The items are taken in blocks of about ``block`` rows, each broadcast behind a size check with those shared
+    sentences and common words that occur in it, and all documents are scanned against each block. Null and empty texts on either side match nothing;
     repeated documents are reported each; no items give no rows.
     """
     spark = docs.sparkSession
@@ -196,10 +201,13 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key:
     out = spark.createDataFrame([], f"`{key}` {key_type}, `{item_key}` {item_type}")
     rows = items.select(item_key, item_text).where(F.col(item_text).isNotNull())
     blocks = max(1, -(-rows.count() // block))
-    shared_set, common = _statistics(rows, item_key, item_text)
+    values = _values(rows, item_key, item_text)
+    often = _shared(values) if blocks == 1 else stored(_shared(values), "shared")
     for b in range(blocks):
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == b)
-        shared = bounded(spark, ([tuple(r) for r in part.toLocalIterator()], shared_set, common))
+        mine = often if blocks == 1 else often.join(_values(part, item_key, item_text).select("kind", "value").distinct(), ["kind", "value"])
+        found = mine.collect()
+        shared = bounded(spark, ([tuple(r) for r in part.collect()], {r["value"] for r in found if r["kind"] == "s"}, {r["value"] for r in found if r["kind"] == "w"}))
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             index = LeakIndex(*shared.value)
