@@ -545,7 +545,7 @@ def _stretches(cut: list[list[list[str]]], r: random.Random) -> list[list[str]]:
     return out
 
 
-def fit_on(rows: DataFrame, verdicts: DataFrame) -> AbuseNet:
+def fit_on(rows: DataFrame, verdicts: DataFrame, about: int | None = None) -> AbuseNet:
     """Network trained on at most ``FLAGGED_ROWS`` requests whose verdict is unsafe and ``SAMPLE_ROWS`` other records.
 
     ``rows`` has (origin, record_id, text), ``verdicts`` (record_id, verdict) of the moderation stage. Records
@@ -557,7 +557,7 @@ def fit_on(rows: DataFrame, verdicts: DataFrame) -> AbuseNet:
     is_bad = (F.col("origin") == "request") & F.col("record_id").isin(ids)
     flagged = sorted({(r["record_id"], r["text"]) for r in texts.where(is_bad).select("record_id", "text").dropDuplicates(["record_id", "text"]).collect()}) if ids else []
     known = {i for i, _ in flagged}
-    ordinary = [r["text"] for r in bounded_sample(texts.select("origin", "record_id", "text"), SAMPLE_ROWS, "text") if r["origin"] != "request" or r["record_id"] not in known]
+    ordinary = [r["text"] for r in bounded_sample(texts.select("origin", "record_id", "text"), SAMPLE_ROWS, "text", about=about) if r["origin"] != "request" or r["record_id"] not in known]
     return train(list(dict.fromkeys(ordinary)), list(dict.fromkeys(t for _, t in flagged)))
 
 

@@ -296,9 +296,9 @@ def tokens(sentence: str) -> tuple[list[str], str | None, float]:
     return _LATIN.findall(s), script, size
 
 
-def fit_on(rows: DataFrame, limit: int = SAMPLE_ROWS) -> LanguageModel:
+def fit_on(rows: DataFrame, limit: int = SAMPLE_ROWS, about: int | None = None) -> LanguageModel:
     """Model fitted on at most ``limit`` labelled records (origin, record_id, text, label)."""
-    sample = bounded_sample(rows.where("label is not null and length(text) between 20 and 3000").select("text", "label"), limit, "text")
+    sample = bounded_sample(rows.where("label is not null and length(text) between 20 and 3000").select("text", "label"), limit, "text", about=about)
     return LanguageModel().fit((r["text"], c) for r in sample if (c := label_code(r["label"])))
 
 

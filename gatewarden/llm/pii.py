@@ -547,9 +547,9 @@ def train(texts: list[str]) -> SpanField:
     return field.fit([*written, *sure_sentences(field, texts)], epochs=2, rate=0.15) if texts else field
 
 
-def fit_on(rows: DataFrame, limit: int = SAMPLE_ROWS) -> SpanField:
+def fit_on(rows: DataFrame, limit: int = SAMPLE_ROWS, about: int | None = None) -> SpanField:
     """Field fitted on written texts and on at most ``limit`` records."""
-    return train([r["text"] for r in bounded_sample(rows.where("length(text) between 4 and 3000").select("text"), limit, "text")])
+    return train([r["text"] for r in bounded_sample(rows.where("length(text) between 4 and 3000").select("text"), limit, "text", about=about)])
 
 
 def _mapped(rows: DataFrame, field: SpanField, columns: str, each) -> DataFrame:

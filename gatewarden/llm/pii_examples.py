@@ -22,42 +22,42 @@ _ARABIC = "الخطيب النجار الحداد المصري الشامي ال
 #: Sentences with ``{v}`` in the place of a value, by language and type.
 CARRIERS = {
     "en": {
-        "name": "{v} fell ill on monday|yesterday {v} came to see us|{v} and the children are fine|a present from {v} arrived|for {v} and {v}|{v} is my neighbour|thanks, {v}|{v} of the night shift|give it to {v}|my name is {v}|i am {v} and i work here|this is {v} speaking|ask for {v} at the desk|{v} wrote the first draft|we met {v} at the station|please call {v} back|the letter was signed by {v}|dear {v}, thank you|kind regards, {v}|my sister {v} lives abroad|{v} said that it works|the invoice goes to {v}|i spoke with {v} about it|{v} and {v} live next door|put it in the name of {v}|the patient {v} was seen today|contact: {v}|our teacher {v} is ill|sincerely {v}",
+        "name": "{v} sings in the choir|yesterday {v} came to see us|{v} and the children are fine|for {v} and {v}|{v} is my neighbour|thanks, {v}|give it to {v}|my name is {v}|i am {v} and i work here|this is {v} speaking|ask for {v} at the desk|{v} wrote the first draft|we met {v} at the station|please call {v} back|the letter was signed by {v}|dear {v}, thank you|kind regards, {v}|my sister {v} lives abroad|{v} said that it works|the invoice goes to {v}|i spoke with {v} about it|{v} and {v} live next door|put it in the name of {v}|the patient {v} was seen today|contact: {v}|our teacher {v} is ill|sincerely {v}",
         "phone": "my phone number is {v}|call me on {v}|call {v} for help|you can ring {v} after lunch|tel {v}|phone: {v}|text me at {v}|mobile {v}|the number of the clinic is {v}|dial {v} to talk to us|fax {v}|reach us under {v}|whatsapp {v}|my cell is {v}, thanks|is {v} still your number?",
-        "id_number": "my tax number, which is {v}, is new|the passport on file is {v}|the form asks for the identity number, which is {v}|my social security number is {v}|ssn: {v}|passport {v} was issued here|my passport number is {v}|national id {v}|the driver licence has the number {v}|tax id {v}|identity card no. {v}|they ask for my id, it is {v}|insurance number {v} is on the card|the id on file is {v}",
+        "id_number": "write {v} in the box for the id|my social security number is {v}|ssn: {v}|passport {v} was issued here|my passport number is {v}|national id {v}|the driver licence has the number {v}|tax id {v}|identity card no. {v}|they ask for my id, it is {v}|insurance number {v} is on the card|the id on file is {v}",
         "address": "i live at {v}|our office is at {v}|send the box to {v}|deliver it to {v}, please|the house at {v} is for sale|we moved to {v} last year|address: {v}|come to {v} at eight|the crash happened near {v}|my new home is {v}",
-        "email": "{v}|remove {v} from the list|the login {v} is locked|hello {v}|write to {v}|my email is {v}|mail {v} for details|contact us at {v}|e-mail: {v}|send it to {v} please|{v} is my address|reply to {v} today|cc {v} on this|the account belongs to {v}",
+        "email": "{v}|the mailbox {v} is full|the login {v} is locked|hello {v}|write to {v}|my email is {v}|mail {v} for details|contact us at {v}|e-mail: {v}|send it to {v} please|{v} is my address|reply to {v} today|cc {v} on this|the account belongs to {v}",
     },
     "es": {
-        "name": "ayer vino {v}|{v} es mi vecino|un regalo de {v}|a nombre de {v}|me llamo {v}|soy {v} y trabajo aquí|habla {v}|pregunte por {v}|{v} escribió el texto|estimado {v}|saludos, {v}|hablé con {v}|mi hermana {v} vive lejos|firmado por {v}|contacto: {v}|conocimos a {v} ayer|{v} dijo que sí|mi profesor {v} está enfermo",
+        "name": "ayer vino {v}|{v} es mi vecino|a nombre de {v}|me llamo {v}|soy {v} y trabajo aquí|habla {v}|pregunte por {v}|{v} escribió el texto|estimado {v}|saludos, {v}|hablé con {v}|mi hermana {v} vive lejos|firmado por {v}|contacto: {v}|conocimos a {v} ayer|{v} dijo que sí|mi profesor {v} está enfermo",
         "phone": "mi teléfono es {v}|mi número es el {v}|llama al {v}|tel. {v}|móvil {v}|puedes llamar al {v} mañana|escríbeme al {v}|el número de la clínica es {v}|whatsapp {v}",
-        "id_number": "piden el documento, que es {v}|el pasaporte lleva el número {v}|mi dni es {v}|dni {v}|mi pasaporte es el {v}|número de identidad {v}|nif: {v}|mi número de la seguridad social es {v}|documento {v}|cédula {v}",
+        "id_number": "el pasaporte lleva el número {v}|mi dni es {v}|dni {v}|mi pasaporte es el {v}|número de identidad {v}|nif: {v}|mi número de la seguridad social es {v}|documento {v}|cédula {v}",
         "address": "vivo en {v}|nuestra oficina está en {v}|envíe la caja a {v}|dirección: {v}|nos mudamos a {v}|la casa de {v} se vende|entregar en {v}",
         "email": "escribe a {v}|mi correo es {v}|correo: {v}|contacto en {v}|manda la factura a {v}|responde a {v} hoy",
     },
     "fr": {
-        "name": "hier {v} est venu|{v} est mon voisin|un cadeau de {v}|au nom de {v}|signez pour {v}|je m'appelle {v}|je suis {v} et je travaille ici|ici {v}|demandez {v}|{v} a écrit le texte|cher {v}|cordialement, {v}|j'ai parlé avec {v}|ma sœur {v} vit loin|signé par {v}|contact : {v}|nous avons vu {v} hier|{v} a dit oui",
+        "name": "hier {v} est venu|{v} est mon voisin|la place de {v}|je m'appelle {v}|je suis {v} et je travaille ici|ici {v}|demandez {v}|{v} a écrit le texte|cher {v}|cordialement, {v}|j'ai parlé avec {v}|ma sœur {v} vit loin|signé par {v}|contact : {v}|nous avons vu {v} hier|{v} a dit oui",
         "phone": "mon téléphone est le {v}|mon numéro est le {v}|appelez le {v}|tél. {v}|portable {v}|vous pouvez appeler le {v} demain|le numéro de la clinique est {v}|joignable au {v}",
-        "id_number": "le numéro fiscal, qui est {v}|numéro de sécurité sociale : {v}|mon numéro de sécurité sociale est {v}|mon passeport est le {v}|numéro d'identité {v}|carte d'identité {v}|numéro fiscal {v}|ma carte porte le numéro {v}",
+        "id_number": "numéro de sécurité sociale : {v}|mon numéro de sécurité sociale est {v}|mon passeport est le {v}|numéro d'identité {v}|carte d'identité {v}|numéro fiscal {v}|ma carte porte le numéro {v}",
         "address": "j'habite {v}|j'habite au {v}|notre bureau est au {v}|envoyez la boîte au {v}|adresse : {v}|nous avons déménagé au {v}|livrer au {v}",
         "email": "écrivez à {v}|mon adresse est {v}|courriel : {v}|contactez-nous à {v}|envoyez la facture à {v}|répondez à {v}",
     },
     "de": {
-        "name": "gestern kam {v}|{v} ist mein nachbar|ein geschenk von {v}|im namen von {v}|für {v}|ich heiße {v}|mein name ist {v}|ich bin {v} und arbeite hier|hier spricht {v}|fragen sie nach {v}|{v} hat den text geschrieben|lieber {v}|mit freundlichen grüßen, {v}|ich sprach mit {v}|meine schwester {v} wohnt weit weg|unterschrieben von {v}|kontakt: {v}|{v} sagte ja",
+        "name": "gestern kam {v}|{v} ist mein nachbar|im namen von {v}|für {v}|ich heiße {v}|mein name ist {v}|ich bin {v} und arbeite hier|hier spricht {v}|fragen sie nach {v}|{v} hat den text geschrieben|lieber {v}|mit freundlichen grüßen, {v}|ich sprach mit {v}|meine schwester {v} wohnt weit weg|unterschrieben von {v}|kontakt: {v}|{v} sagte ja",
         "phone": "meine telefonnummer ist {v}|meine nummer lautet {v}|rufen sie {v} an|tel. {v}|handy {v}|erreichbar unter {v}|die praxis hat die nummer {v}|ruf mich an: {v}",
-        "id_number": "meine steuer-id lautet {v}|die passnummer lautet {v}|die ausweisnummer im antrag ist {v}|meine ausweisnummer ist {v}|reisepass {v}|meine steuernummer ist {v}|steuer-id {v}|sozialversicherungsnummer {v}|personalausweis nr. {v}|die nummer im pass ist {v}",
-        "address": "das paket geht an {v}|ich wohne in der {v}|ich wohne {v}|unser büro ist in der {v}|schicken sie die kiste an {v}|adresse: {v}|wir sind in die {v} gezogen|lieferung an {v}",
+        "id_number": "meine steuer-id lautet {v}|die passnummer lautet {v}|meine ausweisnummer ist {v}|reisepass {v}|meine steuernummer ist {v}|steuer-id {v}|sozialversicherungsnummer {v}|personalausweis nr. {v}|die nummer im pass ist {v}",
+        "address": "der umzug nach {v} ist vorbei|ich wohne in der {v}|ich wohne {v}|unser büro ist in der {v}|schicken sie die kiste an {v}|adresse: {v}|wir sind in die {v} gezogen|lieferung an {v}",
         "email": "schreiben sie an {v}|meine adresse ist {v}|e-mail: {v}|kontakt unter {v}|senden sie die rechnung an {v}|antworten sie an {v}",
     },
     "pt": {
-        "name": "ontem veio {v}|{v} é meu vizinho|um presente de {v}|em nome de {v}|meu nome é {v}|me chamo {v}|sou {v} e trabalho aqui|fala {v}|procure por {v}|{v} escreveu o texto|prezado {v}|abraços, {v}|falei com {v}|minha irmã {v} mora longe|assinado por {v}|contato: {v}|{v} disse que sim",
+        "name": "ontem veio {v}|{v} é meu vizinho|em nome de {v}|meu nome é {v}|me chamo {v}|sou {v} e trabalho aqui|fala {v}|procure por {v}|{v} escreveu o texto|prezado {v}|abraços, {v}|falei com {v}|minha irmã {v} mora longe|assinado por {v}|contato: {v}|{v} disse que sim",
         "phone": "meu telefone é {v}|meu número é {v}|ligue para {v}|tel. {v}|celular {v}|pode ligar para {v} amanhã|o número da clínica é {v}|whatsapp {v}",
-        "id_number": "pedem o documento, que é {v}|o passaporte tem o número {v}|meu cpf é {v}|cpf: {v}|meu passaporte é {v}|número de identidade {v}|rg {v}|meu documento é {v}",
+        "id_number": "o passaporte tem o número {v}|meu cpf é {v}|cpf: {v}|meu passaporte é {v}|número de identidade {v}|rg {v}|meu documento é {v}",
         "address": "moro na {v}|moro em {v}|nosso escritório fica na {v}|envie a caixa para {v}|endereço: {v}|mudamos para {v}|entregar na {v}",
         "email": "escreva para {v}|meu e-mail é {v}|e-mail: {v}|contato em {v}|mande a fatura para {v}|responda para {v}",
     },
     "ru": {
-        "name": "вчера пришёл {v}|{v} мой сосед|подарок от {v}|от имени {v}|меня зовут {v}|моё имя {v}|я {v} и работаю здесь|говорит {v}|спросите {v}|{v} пишет текст|уважаемый {v}|с уважением, {v}|я говорил с {v}|подпись: {v}|контакт: {v}|{v} ответил вчера|письмо подписал {v}",
+        "name": "вчера пришёл {v}|{v} мой сосед|от имени {v}|меня зовут {v}|моё имя {v}|я {v} и работаю здесь|говорит {v}|спросите {v}|{v} пишет текст|уважаемый {v}|с уважением, {v}|я говорил с {v}|подпись: {v}|контакт: {v}|{v} ответил вчера|письмо подписал {v}",
         "phone": "мой телефон {v}|мой номер {v}|звоните по номеру {v}|тел. {v}|мобильный {v}|можно позвонить на {v} завтра|номер клиники {v}",
         "id_number": "номер паспорта {v}|паспорт {v}|мой паспорт {v}|снилс {v}|инн {v}|номер удостоверения {v}|удостоверение {v}",
         "address": "я живу по адресу {v}|живу на {v}|наш офис: {v}|пришлите коробку на {v}|адрес: {v}|мы переехали на {v}|доставить по адресу {v}",
@@ -101,22 +101,22 @@ CARRIERS = {
 }
 #: Sentences without personal information: ``{c}`` is a company or product, ``{o}`` an order code or serial number, ``{q}`` an amount, ``{w}`` an address of a network, a version, a date or a time.
 PLAIN = {
-    "en": "the {c} mark {q} is a good model|model {c} mk {q}|Mark your calendar for {w}|Grace and patience help|mr. chairman, the vote is open|the madam chair of {c} agreed|Dear customers of {c}|the offer of {c} ends soon|{c} launched a lamp in spring|compare {c} with {c} and {c}|the order {o} is late|invoice {o} was paid|order no. {o} reached {c}|ticket {o} is closed|the code {o} belongs to {c}|parcel {o} left the depot|serial number {o}|version {w} fixed it|the server {w} is down|traffic from {w} went to {c}|about {q} people came|it costs {q} credits|{q} percent of {q} visits came from {c}|between {q} and {q} rows|a partner of {c} wants it|the account manager at {c} called|nobody at {c} knows|the desk of {c} ltd.|keywords: {c}, {c}, {c}|our night team answers|the new driver said hello|on {w} the shop of {c} closed|the president of the club spoke|rank {c}, {c} and {c}|batch {q} of {o}|tell {c} that the price is {q}|we sold {q} units of it|Last Monday the Weather Page was down|Museum Visitors and Dog Owners like it",
-    "es": "el sr. presidente de {c} votó|la sra. gerente de {c} opina|señor cliente|la oferta de {c} termina|compara {c} con {c}|el pedido {o} llega tarde|la factura {o} es de {c}|la versión {w} lo arregla|cuesta {q} euros|unas {q} visitas de {c}|el gerente de {c} llamó|nadie en {c} lo sabe|el {q} por ciento|paquete {o}|palabras clave: {c}, {c}",
-    "fr": "monsieur le maire de {c} a voté|madame la présidente de {c} pense|cher client|l'offre de {c} se termine|compare {c} avec {c}|la commande {o} est en retard|la facture {o} vient de {c}|la version {w} le corrige|cela coûte {q} euros|environ {q} visites de {c}|le gérant de {c} a appelé|personne chez {c} ne sait|{q} pour cent|colis {o}|mots-clés : {c}, {c}",
-    "de": "der herr direktor von {c} stimmte ab|frau präsidentin, die wahl ist offen|liebe kunden|das angebot von {c} endet|vergleiche {c} mit {c}|die bestellung {o} ist spät|rechnung {o} gehört zu {c}|version {w} behebt es|es kostet {q} euro|etwa {q} besuche von {c}|der leiter bei {c} rief an|niemand bei {c} weiß es|{q} prozent|paket {o}|Stichwörter: {c}, {c}|Die Gärtner und die Bäckereien warten",
-    "pt": "o sr. gerente da {c} votou|a sra. presidente da {c} opina|caro cliente|a oferta da {c} termina|compare {c} com {c}|o pedido {o} atrasou|a fatura {o} é da {c}|a versão {w} corrige|custa {q} reais|cerca de {q} visitas da {c}|o gerente da {c} ligou|ninguém na {c} sabe|{q} por cento|pacote {o}",
-    "ru": "господин директор {c} голосует|уважаемые клиенты|предложение {c} кончается|сравни {c} и {c}|заказ {o} опаздывает|счёт {o} от {c}|версия {w} исправлена|стоит {q} рублей|около {q} посещений {c}|менеджер {c} звонил|никто в {c} не знает|{q} процентов|посылка {o}",
-    "zh": "{c}的优惠结束了|比较{c}和{c}|订单{o}迟到了|发票{o}来自{c}|版本{w}已修复|价格是{q}元|大约{q}次访问来自{c}|{c}的经理来电话了|百分之{q}|包裹{o}|城市园丁喜欢这个灯",
-    "ja": "{c}の割引は終わります|{c}と{c}を比べて|注文{o}は遅れています|請求書{o}は{c}のものです|版{w}で直りました|価格は{q}円です|約{q}回の訪問|{c}の担当者が来ました|{q}パーセント|荷物{o}|博物館の来館者が好む",
-    "ar": "ينتهي عرض {c}|قارن {c} مع {c}|الطلب {o} متأخر|الفاتورة {o} من {c}|الإصدار {w} جاهز|السعر {q} دينار|نحو {q} زيارة من {c}|اتصل مدير {c}|{q} في المئة",
-    "hi": "{c} का प्रस्ताव समाप्त है|{c} और {c} की तुलना करें|ऑर्डर {o} देर से है|बिल {o} {c} का है|संस्करण {w} ठीक है|कीमत {q} रुपये है|लगभग {q} लोग आए|{c} के प्रबंधक ने फ़ोन किया|{q} प्रतिशत",
-    "th": "ข้อเสนอของ {c} หมดแล้ว|เปรียบเทียบ {c} กับ {c}|คำสั่งซื้อ {o} ล่าช้า|ใบแจ้งหนี้ {o} ของ {c}|รุ่น {w} แก้แล้ว|ราคา {q} บาท|ผู้จัดการของ {c} โทรมา|ร้อยละ {q}",
+    "en": "tags: {c}, {c}, {c}|list: {c}, {c}, {c}, {c}|the {c} mark {q} is a good model|model {c} mk {q}|Mark your calendar for {w}|Grace and patience help|mr. chairman, the vote is open|the madam chair of {c} agreed|Dear customers of {c}|the offer of {c} ends soon|{c} launched a lamp in spring|compare {c} with {c} and {c}|the order {o} is late|invoice {o} was paid|order no. {o} reached {c}|ticket {o} is closed|the stamp says {o}|parcel {o} left the depot|serial number {o}|version {w} fixed it|the server {w} is down|the log shows {w}|about {q} people came|it costs {q} credits|{q} percent of {q} visits came from {c}|between {q} and {q} rows|{c} hired two people|the driver from {c} waited|ask {c} for a quote|the desk of {c} ltd.|brands: {c}, {c} and {c}|our kitchen team answers|the new driver said hello|on {w} the shop of {c} closed|the president of the club spoke|between {c} and {c} i prefer {c}|lot {q} of {o}|tell {c} that the price is {q}|we sold {q} units of it|Last Summer the Old Bridge was closed|Teachers and Nurses like it",
+    "es": "lista: {c}, {c}, {c}|el sr. presidente de {c} votó|la sra. gerente de {c} opina|señor cliente|la oferta de {c} termina|compara {c} con {c}|el pedido {o} llega tarde|la factura {o} es de {c}|la versión {w} lo arregla|cuesta {q} euros|unas {q} visitas de {c}|el gerente de {c} llamó|nadie en {c} lo sabe|el {q} por ciento|paquete {o}|marcas: {c}, {c}",
+    "fr": "liste : {c}, {c}, {c}|monsieur le maire de {c} a voté|madame la présidente de {c} pense|cher client|l'offre de {c} se termine|compare {c} avec {c}|la commande {o} est en retard|la facture {o} vient de {c}|la version {w} le corrige|cela coûte {q} euros|environ {q} visites de {c}|le gérant de {c} a appelé|personne chez {c} ne sait|{q} pour cent|colis {o}|marques : {c}, {c}",
+    "de": "Liste: {c}, {c}, {c}|der herr direktor von {c} stimmte ab|frau präsidentin, die wahl ist offen|liebe kunden|das angebot von {c} endet|vergleiche {c} mit {c}|die bestellung {o} ist spät|rechnung {o} gehört zu {c}|version {w} behebt es|es kostet {q} euro|etwa {q} besuche von {c}|der leiter bei {c} rief an|niemand bei {c} weiß es|{q} prozent|paket {o}|Marken: {c}, {c}|Die Lehrer und die Schüler warten",
+    "pt": "lista: {c}, {c}, {c}|o sr. gerente da {c} votou|a sra. presidente da {c} opina|caro cliente|a oferta da {c} termina|compare {c} com {c}|o pedido {o} atrasou|a fatura {o} é da {c}|a versão {w} corrige|custa {q} reais|cerca de {q} visitas da {c}|o gerente da {c} ligou|ninguém na {c} sabe|{q} por cento|pacote {o}",
+    "ru": "список: {c}, {c}, {c}|господин директор {c} голосует|уважаемые клиенты|предложение {c} кончается|сравни {c} и {c}|заказ {o} опаздывает|счёт {o} от {c}|версия {w} исправлена|стоит {q} рублей|около {q} посещений {c}|менеджер {c} звонил|никто в {c} не знает|{q} процентов|посылка {o}",
+    "zh": "向学生说明这本书|向年轻司机介绍规则|向老年顾客解释价格|给业主写通知|帮护士准备讲稿|告诉医生你的症状|替律师写回复|给周末游客写信|为农民提供贷款|向程序员说明{c}|给高中老师写一段话|让夏令营学员看地图|向水管工提问|对余下的人说明|清单：{c}、{c}、{c}|小猫在睡觉|旧桌子已经卖了|{c}的优惠结束了|比较{c}和{c}|订单{o}迟到了|发票{o}来自{c}|版本{w}已修复|价格是{q}元|大约{q}次访问来自{c}|{c}的经理来电话了|百分之{q}|包裹{o}|老师喜欢这本书",
+    "ja": "料理人に説明する|医者と看護師に知らせる|若い運転手への返事|毛のぼうしを買う|旅行者のための地図|花の好きな人へ|小さな箱を買いました|大きな家に住みたい|古いかばんが好きです|新しいやり方を試す|青いかさを忘れました|小さなねこがいる|静かなみせで待つ|丸いつくえが届いた|長いはしごを借りた|熱いおちゃを飲む|短いことばで書く|一覧：{c}、{c}、{c}|{c}の割引は終わります|{c}と{c}を比べて|注文{o}は遅れています|請求書{o}は{c}のものです|版{w}で直りました|価格は{q}円です|約{q}回の訪問|{c}の担当者が来ました|{q}パーセント|荷物{o}|先生はこの本が好き",
+    "ar": "قائمة: {c}، {c}، {c}|ينتهي عرض {c}|قارن {c} مع {c}|الطلب {o} متأخر|الفاتورة {o} من {c}|الإصدار {w} جاهز|السعر {q} دينار|نحو {q} زيارة من {c}|اتصل مدير {c}|{q} في المئة",
+    "hi": "सूची: {c}, {c}, {c}|{c} का प्रस्ताव समाप्त है|{c} और {c} की तुलना करें|ऑर्डर {o} देर से है|बिल {o} {c} का है|संस्करण {w} ठीक है|कीमत {q} रुपये है|लगभग {q} लोग आए|{c} के प्रबंधक ने फ़ोन किया|{q} प्रतिशत",
+    "th": "รายการ {c}, {c}, {c}|ข้อเสนอของ {c} หมดแล้ว|เปรียบเทียบ {c} กับ {c}|คำสั่งซื้อ {o} ล่าช้า|ใบแจ้งหนี้ {o} ของ {c}|รุ่น {w} แก้แล้ว|ราคา {q} บาท|ผู้จัดการของ {c} โทรมา|ร้อยละ {q}",
 }
 #: Telephone and identity number formats in use, ``d`` a digit, ``D`` one from 1 to 9, ``L`` a letter.
 PHONES = "+1 ddd ddd dddd|(ddd) ddd-dddd|ddd.ddd.dddd|ddd-ddd-dddd|ddd ddd dddd|+44 dddd dddddd|0dddd dddddd|0dddd ddd ddd|001dddddddddd|00dd dd dddddddd|+34 ddd dd dd dd|ddd dd dd dd|ddd ddd ddd|dddd ddddd|+33 d dd dd dd dd|0d.dd.dd.dd.dd|0d dd dd dd dd|+49 ddd ddddddd|+49 dd ddddd ddd|0dd/ddddd-ddd|0ddd ddddddd|+55 dd ddddd-dddd|(dd) ddddd dddd|(dd) ddddd-dddd|+7 (ddd) ddd-dd-dd|8 ddd ddd dddd|8 (ddd) ddd-dd-dd|+86 ddd dddd dddd|1dddddddddd|+81 dd-dddd-dddd|0dd-dddd-dddd|0d-dddd-dddd|+91 ddddd ddddd|0 dd dddd dddd|+966 dd ddd dddd|0dd ddd dddd|+66 dd ddd dddd|0dd-ddd-dddd|Ddddddddd"
 IDS = "ddd-dd-dddd|ddd dd dddd|ddddddddd|Ldd dd dddd|dddddddd-L|ddddddddL|d dd dd dd ddd ddd dd|ddddddddddddddd|dd ddd ddd ddd|ddddddddddd|LLddddddL|ddd.ddd.ddd-dd|dd.ddd.ddd-d|dd dd № dddddd|dddd номер dddddd|dddd dddddd|ddd-ddd-ddd dd|dddddddddddddddddd|dddddddddddddddddL|LLddddddd|LLdddddddd|Lddddddddd|dddd dddd dddd|Ldddddddd|dddddddddd|d-dddd-ddddd-dd-d|LLLLLddddL"
-ORDERS = "dddd-dddd-dddd|dddd-ddd-dd|dd-dddd-ddd|dddd-dd-dd|ddd-dd-dddd|dd-dd-ddd|dddd-dddd|dddd-ddd|dd-ddd-dddd|dddddd|ddddddd|LL-dddd|LLdddd|LLL-ddd-ddd|ddd-ddddddd|d-dd-d|dd-d-dd"
+ORDERS = "ddd-ddd-dddd|ddd-dddd-dddd|dddd-dddd-dddd|dddd-ddd-dd|dd-dddd-ddd|dddd-dd-dd|ddd-dd-dddd|dd-dd-ddd|dddd-dddd|dddd-ddd|dd-ddd-dddd|dddddd|ddddddd|LL-dddd|LLdddd|LLL-ddd-ddd|ddd-ddddddd|d-dd-d|dd-d-dd"
 
 
 class Values:
@@ -138,9 +138,10 @@ class Values:
         return "".join(self.r.sample(_SYLLABLES, self.r.choice((2, 2, 3)))).capitalize()
 
     def phone(self, lang: str) -> str:
-        if self.r.random() < 0.06 and lang in ("en", "es", "de", "fr", "pt"):
+        if self.r.random() < 0.1 and lang in ("en", "es", "de", "fr", "pt"):
             words = lex.DIGIT_WORDS[:11] if lang == "en" else lex.DIGIT_WORDS[12:22] if lang == "es" else lex.DIGIT_WORDS[22:32] if lang == "de" else lex.DIGIT_WORDS[32:41] if lang == "fr" else lex.DIGIT_WORDS[41:48]
-            return self.r.choice((" ", " ", ", ")).join(self.r.choice(words) for _ in range(self.r.randint(7, 10)))
+            groups = self.r.choice(((3, 4), (3, 3, 4), (4, 3), (8,), (2, 2, 2, 2), (1,) * 8))
+            return ", ".join(" ".join(self.r.choice(words) for _ in range(k)) for k in groups)
         return self.pattern(PHONES)
 
     def id_number(self, lang: str) -> str:
@@ -168,7 +169,7 @@ class Values:
             s = ("".join(r.sample(_CYRILLIC, r.choice((1, 2)))) + r.choice("ников ский арин аев ожкин ова ина свет енко ин ов макова".split())).capitalize()
             return r.choice((f"{g} {s}", f"{g} {s}", f"{g[0]}. {s}", f"{s}, {g}", f"{s} {g}", f"{g} {s}".lower(), f"{r.choice(('г-жа', 'г-н', 'господин', 'госпожа'))} {s}", g))
         if lang == "zh":
-            return (r.choice(lex.SURNAMES_HAN) if r.random() < 0.7 else r.choice(lex.SURNAMES_HAN_LONG)) + ("".join(r.sample(lex.GIVEN_HAN, r.choice((1, 2, 2)))) if r.random() < 0.5 else self.rare(r.choice((1, 2, 2))))
+            return (r.choice(lex.SURNAMES_HAN) if r.random() < 0.7 else r.choice(lex.SURNAMES_HAN_LONG)) + ("".join(r.sample(lex.GIVEN_HAN, r.choice((1, 2, 2)))) if r.random() < 0.7 else self.rare(r.choice((1, 2, 2))))
         if lang == "ja":
             s = r.choice(lex.SURNAMES_JA) if r.random() < 0.4 else self.rare(r.choice((2, 3))) if r.random() < 0.4 else "".join(r.sample("霧月桐氷星雪花森野川原宮瀬島崎沢谷井ノヶ", r.choice((2, 3))))
             return s + r.choice(("", "", " ")) + (r.choice(lex.GIVEN_JA) if r.random() < 0.7 else "".join(r.sample(_KANA, r.choice((2, 3)))))
@@ -230,7 +231,7 @@ class Values:
         return r.choice((f"10.{r.randint(0, 255)}.{r.randint(0, 255)}.{r.randint(0, 255)}", f"192.168.{r.randint(0, 9)}.{r.randint(1, 250)}", f"{r.randint(0, 30)}.{r.randint(0, 99)}.{r.randint(0, 9)}", f"{r.randint(0, 9)}.{r.randint(0, 9999)}.{r.randint(0, 9)}", f"20{r.randint(10, 30)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", f"{r.randint(1, 12)}:{r.randint(10, 59)}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.20{r.randint(10, 30)}", f"https://{self.coined().lower()}.example/{r.randint(1, 99)}", f"v{r.randint(1, 9)}.{r.randint(0, 9)}"))
 
 
-def generated(n: int = 8000, seed: int = 11) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
+def generated(n: int = 9000, seed: int = 11) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
     """Texts with the spans that are personal information; about two in five have none."""
     v = Values(seed)
     r = v.r

@@ -7,7 +7,7 @@ ryan jacob gary nicholas eric jonathan stephen larry justin scott brandon benjam
 mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa betty margaret sandra ashley emily donna michelle carol amanda dorothy melissa deborah stephanie rebecca laura helen
 sharon cynthia kathleen amy angela anna brenda pamela emma nicole samantha katherine christine rachel olivia grace alice hannah sophie amelia charlotte lucy julia chloe ella
 javier diego carlos josé juan luis miguel pablo jorge pedro manuel antonio francisco fernando sergio alberto raúl andrés marta lucía maría carmen elena sofía paula ana isabel pilar rosa teresa cristina silvia
-jean pierre luc philippe michel alain nicolas laurent antoine hugo louis camille marie julie claire chloé léa sophie isabelle nathalie sylvie céline manon inès
+jean pierre luc philippe michel alain nicolas laurent antoine hugo louis camille marie julie claire chloé léa sophie isabelle nathalie sylvie céline manon inès julien mathieu guillaume sébastien françois christophe stéphane olivier vincent aurélie émilie élodie caroline pauline valérie véronique sandrine hélène
 hans lukas jürgen klaus felix jonas stefan wolfgang dieter uwe matthias tobias lena anna sabine mia greta katrin heike monika ursula petra claudia birgit anja
 joão tiago rui paulo ricardo rafael gustavo felipe bruno mariana beatriz inês luísa fernanda camila larissa juliana gabriela adriana""".split()
 GIVEN_CYRILLIC = "иван павел дмитрий сергей алексей николай пётр андрей михаил владимир александр игорь олег виктор юрий максим артём марина ольга анна елена наталья мария татьяна юлия светлана ирина екатерина галина людмила вера оксана".split()

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from gatewarden.functions.text import clean_id
 from gatewarden.llm import abuse, bpe, languages, leaks, overlap, pii, sentences, splits
-from gatewarden.llm.records import records
+from gatewarden.llm.records import records, row_count
 from gatewarden.tables import table
 
 
 def _abuse_scores(spark: SparkSession, folder: str, unnamed: bool = True) -> DataFrame:
     rows = records(spark, folder)
-    net = abuse.fit_on(rows, abuse.verdicts_of(table(spark, folder, "moderated_requests")))
+    net = abuse.fit_on(rows, abuse.verdicts_of(table(spark, folder, "moderated_requests")), row_count(spark, folder))
     return abuse.score_table(records(spark, folder, unnamed), net)
 
 
@@ -45,17 +45,17 @@ def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = records(spark, folder)
-    return languages.find_cases(rows, languages.fit_on(rows))
+    return languages.find_cases(rows, languages.fit_on(rows, about=row_count(spark, folder)))
 
 
 def p7_records(spark: SparkSession, folder: str) -> DataFrame:
     rows = records(spark, folder)
-    return languages.record_table(rows, languages.fit_on(rows))
+    return languages.record_table(rows, languages.fit_on(rows, about=row_count(spark, folder)))
 
 
 def p7_segments(spark: SparkSession, folder: str) -> DataFrame:
     rows = records(spark, folder)
-    return languages.segment_table(rows, languages.fit_on(rows))
+    return languages.segment_table(rows, languages.fit_on(rows, about=row_count(spark, folder)))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,12 +64,12 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = records(spark, folder)
-    return pii.find_kinds(rows, pii.fit_on(rows))
+    return pii.find_kinds(rows, pii.fit_on(rows, about=row_count(spark, folder)))
 
 
 def p5_redacted(spark: SparkSession, folder: str) -> DataFrame:
     rows = records(spark, folder)
-    return pii.redacted_table(records(spark, folder, unnamed=True), pii.fit_on(rows))
+    return pii.redacted_table(records(spark, folder, unnamed=True), pii.fit_on(rows, about=row_count(spark, folder)))
 
 
 def _labeled(spark: SparkSession, folder: str) -> DataFrame:

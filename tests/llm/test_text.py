@@ -2,7 +2,6 @@
 
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,4 +195,5 @@ def test_bounded_sample(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("t"))
     a = [r.t for r in bounded_sample(df, 100, "t")]
     assert len(a) == 100 and a == [r.t for r in bounded_sample(df.repartition(7), 100, "t")]
+    assert [r.t for r in bounded_sample(df, 100, "t", about=9000)] == a
     assert len(bounded_sample(df.limit(10), 100, "t")) == 10 and bounded_sample(df.limit(0), 100, "t") == []
