@@ -46,7 +46,7 @@ def folded_texts(rows: DataFrame, key: str, text: str, side: str) -> DataFrame:
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, side)}
     folded = rows.select(key, side, text).where(F.col(text).isNotNull() & F.col(side).isNotNull())
-    return folded.mapInPandas(run, f"`{key}` {kinds[key]}, `{side}` {kinds[side]}, line string, n int").where("line is not null").withColumn("class", F.md5("line"))
+    return folded.mapInPandas(run, f"`{key}` {kinds[key]}, `{side}` {kinds[side]}, line string, n int").where("line is not null").withColumn("class", F.unhex(F.md5("line")))
 
 
 class Shard:
@@ -110,7 +110,7 @@ def _spans(rows: list[int], size: int) -> list[int]:
     return out
 
 
-MATCHES = "train_class string, eval_class string, common int, longer int, spans array<int>"
+MATCHES = "train_class binary, eval_class binary, common int, longer int, spans array<int>"
 
 
 def matching_classes(texts: DataFrame, share: float = 0.8, spare: int = 6, shard_rows: int = 32_000, slice_rows: int = 20_000) -> DataFrame:
