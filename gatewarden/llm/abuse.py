@@ -455,10 +455,10 @@ class Evidence:
 
     def of(self, ws: list[str]) -> tuple[float, float, float]:
         """Mean log ratio of the pairs met three times or more, with a lower and an upper bound (one deviation
-        of the count); 0 if there are none."""
+        of the count); 0 and no upper bound if there are none."""
         got = [(self.bad[p], self.all[p] * self.share + 0.5) for p in _pairs(ws) if self.bad[p] + self.all[p] >= 3]
         if len(got) < 2:
-            return 0.0, 0.0, 0.0
+            return 0.0, 0.0, 9.0
         low = sum(math.log((f - math.sqrt(f) + 0.5) / e) for f, e in got) / len(got)
         mid = sum(math.log((f + 0.5) / e) for f, e in got) / len(got)
         high = sum(math.log((f + math.sqrt(f + 1) + 0.5) / e) for f, e in got) / len(got)
@@ -498,7 +498,7 @@ def train(ordinary: list[str], flagged: list[str]) -> AbuseNet:
     evidence = Evidence(bad, cut)
     seen = Counter(tuple(ws) for text in (*cut, *bad) for ws in text if ws)
     mine = [list(ws) for ws in seen]
-    low, mid, high = np.array([evidence.of(ws) for ws in mine] or [(0.0, 0.0, 0.0)]).T
+    low, mid, high = np.array([evidence.of(ws) for ws in mine] or [(0.0, 0.0, 9.0)]).T
     r = random.Random(11)
     texts, labels, cores = _examples(cut, 9)
     joined = _stretches(cut, r)[:NEGATIVES]
@@ -508,7 +508,7 @@ def train(ordinary: list[str], flagged: list[str]) -> AbuseNet:
         score = scorer.score_words(mine)
         odds = np.log((score + 1e-4) / (1.0001 - score)) + 1.5 * np.minimum(low, 2.5)
         abusive = ((odds >= 0.8) & (low >= 0.5)) | ((score >= 0.95) & (low >= 0.3))
-        ordinary_now = ((odds < -1) & (low >= 0.5)) | ((score < 0.9) & (mid < 0.3)) | (high < 0)
+        ordinary_now = ((odds < -1) & (low >= 0.5)) | ((score < 0.9) & (mid < 0.3)) | (high < 0.6)
         doubtful = {tuple(ws) for ws, p, q in zip(mine, abusive, ordinary_now) if p or not q}
         clean = [[ws for ws in text if tuple(ws) not in doubtful] for text in cut]
         more = [(ws, 1) for ws, k in zip(mine, abusive) if k] + [(ws, 0) for ws, n, k, s in zip(mine, seen.values(), ordinary_now, score) if k and s > 0.05 for _ in range(min(30, 3 + n // 2))]
