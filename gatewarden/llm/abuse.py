@@ -557,8 +557,8 @@ def fit_on(rows: DataFrame, verdicts: DataFrame, about: int | None = None) -> Ab
     is_bad = (F.col("origin") == "request") & F.col("record_id").isin(ids)
     flagged = sorted({(r["record_id"], r["text"]) for r in texts.where(is_bad).select("record_id", "text").dropDuplicates(["record_id", "text"]).collect()}) if ids else []
     known = {i for i, _ in flagged}
-    ordinary = [r["text"] for r in bounded_sample(texts.select("origin", "record_id", "text"), SAMPLE_ROWS, "text", about=about) if r["origin"] != "request" or r["record_id"] not in known]
-    return train(list(dict.fromkeys(ordinary)), list(dict.fromkeys(t for _, t in flagged)))
+    ordinary = [r["text"] for r in bounded_sample(texts.select("origin", "record_id", "text"), SAMPLE_ROWS, "record_id", "text", about=about) if r["origin"] != "request" or r["record_id"] not in known]
+    return train(ordinary, [t for _, t in flagged])
 
 
 def verdicts_of(moderated: DataFrame) -> DataFrame:
