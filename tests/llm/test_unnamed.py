@@ -9,8 +9,8 @@ FOLDER = "/root/testdata/sf0.01"
 
 
 def test_rows_without_req_id_come_out(spark, monkeypatch):
-    monkeypatch.setattr(abuse, "fit_on", lambda *a: abuse.AbuseNet())
-    monkeypatch.setattr(pii, "fit_on", lambda *a: pii.SpanField())
+    monkeypatch.setattr(abuse, "fit_on", lambda *a, **k: abuse.AbuseNet())
+    monkeypatch.setattr(pii, "fit_on", lambda *a, **k: pii.SpanField())
     raw = spark.read.parquet(f"{FOLDER}/raw_requests.parquet").where("prompt is not null")
     texts = raw.count() + spark.read.parquet(f"{FOLDER}/documents.parquet").where("text is not null").count()
     blank = raw.where(F.trim(F.coalesce("req_id", F.lit(""))) == "").count()
