@@ -5,13 +5,15 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatewarden import config
 from gatewarden.config import RuleConfig
-from gatewarden.functions import bitwise
+from gatewarden.functions import bitwise, cycles
 from gatewarden.functions.text import collapse_space, strip
 from gatewarden.operators import windows as w
 
@@ -170,23 +172,38 @@ def publisher_signals(df: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFram
     return b.unionByName(rest, allowMissingColumns=True).drop("__ip", "__se", "__pr", "__co", "__bad", "__flag")
 
 
-def with_ua_rotation(df: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
-    """Rotation as documented: the window's user agents of the publisher repeat a cycle.
+def ua_rotations(df: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
+    """``seq`` of the rows at which the window's user agents of the publisher repeat a cycle: rotation as documented.
 
-    The window is collected per row in the block it is in; it is bounded by the rotation window, not by the key.
+    Only publisher, time and user agent travel. A task holds the codes of one (publisher, block) at a time, or of
+    several small ones, and settles all its windows together.
     """
-    x = df.withColumn("__ua", _value("user_agent"))
-    b = w.blocked(x, "publisher_id", cfg.ms("rotation_s"))
-    seen = F.collect_list(F.struct("ts", "seq", F.col("__ua").alias("v"))).over(w.window_range("publisher_id", cfg.ms("rotation_s")))
-    mine = F.transform(F.array_sort(F.filter(seen, lambda e: e["v"].isNotNull() & ((e["ts"] < F.col("ts")) | (e["seq"] <= F.col("seq"))))), lambda e: e["v"])
-    firsts = F.array_distinct("__s")
-    size = F.array_max(F.transform(firsts, lambda v: F.array_position("__s", v))).cast("int")
-    full = F.floor(F.size("__s") / size).cast("int")
-    repeats = F.forall(F.sequence(F.lit(1), full - 1), lambda k: F.slice("__s", k.cast("int") * size + 1, size) == F.slice("__s", F.lit(1), size))
-    ok = (F.size(firsts) >= cfg.rotation_min_uas) & (F.size("__s") >= cfg.rotation_min_requests) & (full >= 2)
-    b = b.withColumn("__s", mine).withColumn("publisher_ua_rotation", F.coalesce(F.when(F.col("__ua").isNotNull() & ok, repeats), F.lit(False)))
-    rest = x.where("publisher_id is null or ts is null").withColumn("publisher_ua_rotation", F.lit(False))
-    return w.unblocked(b).drop("__s").unionByName(rest).drop("__ua")
+    window = cfg.ms("rotation_s")
+    x = df.select("seq", "ts", "publisher_id", _value("user_agent").alias("__ua")).where("__ua is not null")
+    b = w.blocked(x, "publisher_id", window).sortWithinPartitions("publisher_id", w.BLOCK, "ts", F.asc_nulls_last("seq"), "__ua")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in w.whole_keys(batches, ("publisher_id", w.BLOCK)):
+            ts, seq, agent = w.codes(t, "ts"), t["seq"].fill_null(np.iinfo(np.int64).max).to_numpy(), w.codes(t, "__ua")
+            other = w.key_changes(t, ("publisher_id", w.BLOCK))
+            # gaps longer than the window are cut to just that, so one axis holds all keys
+            at = np.cumsum(np.append(0, np.where(other, window + 1, np.minimum(np.diff(ts), window + 1))))
+            hit = cycles.cyclic(agent, np.searchsorted(at, at - window), cfg.rotation_min_uas, cfg.rotation_min_requests)
+            ends = np.flatnonzero(np.append(other | (np.diff(ts) != 0) | (np.diff(seq) != 0), True))  # rows alike in time and seq see one another
+            hit = np.repeat(hit[ends], np.diff(ends, prepend=-1)) & ~w.codes(t, w.HALO)
+            yield from t.select(["seq"]).filter(pa.array(hit)).to_batches()
+
+    return b.select("publisher_id", w.BLOCK, "ts", "seq", "__ua", w.HALO).mapInArrow(run, "seq bigint")
+
+
+def _with_flag(df: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    found = found.select(F.col("seq").alias("__seq"))
+    return df.join(found, F.col("seq") == F.col("__seq"), "left").withColumn(name, F.col("__seq").isNotNull()).drop("__seq")
+
+
+def with_ua_rotation(df: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
+    """Adds ``publisher_ua_rotation`` to the rows (see ``ua_rotations``); ``seq`` is unique."""
+    return _with_flag(df, ua_rotations(df, cfg), "publisher_ua_rotation")
 
 
 def ip_burst(df: DataFrame, cfg: RuleConfig = RuleConfig()) -> DataFrame:
@@ -233,7 +250,7 @@ def detect(df: DataFrame, cfg: RuleConfig = RuleConfig(), exact_replay: bool = F
         flagged = flagged | c
     x = publisher_signals(x.withColumn("session_flagged", flagged), cfg)
     if not cfg.compat:
-        x = with_ua_rotation(x.drop("publisher_ua_rotation"), cfg)
+        x = _with_flag(x.drop("publisher_ua_rotation"), ua_rotations(df, cfg), "publisher_ua_rotation")
     added = [c for c in x.columns if c not in (*_NARROW, "prompt")]
     joined = df.join(x.select(F.col("seq").alias("__seq"), *added), F.col("seq") == F.col("__seq")).drop("__seq")
     return scored(with_stateless(joined), STATELESS + SESSION_RULES + PUBLISHER_RULES, cfg)

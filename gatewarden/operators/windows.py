@@ -11,6 +11,10 @@ at once. So no row looks at its window again, and the cost does not depend on ho
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +40,6 @@ def unblocked(df: DataFrame) -> DataFrame:
     return df.where(~F.col(HALO)).drop(BLOCK, HALO)
 
 
-def window_range(key: str, window_ms: int):
-    """Frame of the window; it holds the later rows of equal time too."""
-    return Window.partitionBy(key, BLOCK).orderBy("ts").rangeBetween(-window_ms, 0)
-
-
 def first_seen(key: str, value: str, window_ms: int) -> Column:
     """Whether the value did not occur in the window before this row."""
     before = F.lag("ts").over(Window.partitionBy(key, BLOCK, value).orderBy("ts", "seq"))
@@ -92,3 +91,34 @@ def regular_cadence(key: str, window_ms: int, drift_ms: int, n: int = 4) -> Colu
     gaps = [at[i] - at[i + 1] for i in range(n - 1)]
     regular = (at[-1] >= F.col("ts") - window_ms) & (F.greatest(*gaps) - F.least(*gaps) <= drift_ms) & (F.least(*gaps) > 0)
     return F.coalesce(regular, F.lit(False))
+
+
+def codes(t: pa.Table, c: str) -> np.ndarray:
+    """A column's values; numbers for its texts, equal for equal ones, if it is encoded."""
+    col = t[c].unify_dictionaries()
+    return np.concatenate([x.indices.to_numpy() for x in col.chunks]) if pa.types.is_dictionary(col.type) else col.to_numpy()
+
+
+def key_changes(t: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
+    """Whether the row after each row but the last has another key."""
+    return np.any([(x := codes(t, k))[1:] != x[:-1] for k in keys], axis=0)
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], least: int = 1 << 17) -> Iterator[pa.Table]:
+    """The sorted rows in tables that end with a key; of ``least`` rows or more, but for the last. Texts are encoded."""
+    held, want = None, least
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        for i, f in enumerate(part.schema):
+            if pa.types.is_string(f.type) or pa.types.is_large_string(f.type):
+                part = part.set_column(i, f.name, part[f.name].dictionary_encode())
+        held = pa.concat_tables([held, part]) if held else part
+        if held.num_rows < want:
+            continue
+        cut = int(np.flatnonzero(np.append(True, key_changes(held, keys)))[-1])
+        if cut:
+            yield held.slice(0, cut)
+        held = held.slice(cut)
+        want = max(least, 2 * held.num_rows)
+    if held:
+        yield held

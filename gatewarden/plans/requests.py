@@ -296,7 +296,7 @@ _TURN = RuleConfig(scale=600.0, rotation_min_requests=4, rotation_min_uas=2)
     and len(list_filter(range(1, (len(s) // size)::bigint), lambda i: s[i * size + 1 : (i + 1) * size] <> s[1 : size])) = 0""")
 def publisher_ua_rotation(spark, folder):
     """User agents of a publisher that repeat in a cycle, as the rule is documented; as coded it never fires."""
-    return rules.with_ua_rotation(requests(spark, folder), _TURN).where("publisher_ua_rotation").select("seq")
+    return rules.ua_rotations(requests(spark, folder), _TURN)
 
 
 @query(f"with {REQ}, i as (select *, nullif({S('user_ip')}, '') as ip from req) select seq, n_ip_requests, n_ip_requests > {CFG.ip_burst_max} as ip_burst from (select r.seq, (select count(*) from i b where b.ip = r.ip and b.ts >= r.ts - {ms('ip_burst_s')} and (b.ts, b.seq) <= (r.ts, r.seq)) as n_ip_requests from i r where ip is not null and ts is not null)")

@@ -1,10 +1,13 @@
 """Windows, rules and golden traces."""
 
 import random
+import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gatewarden.config import RuleConfig
+from gatewarden.functions import cycles
 from gatewarden.operators import rules, windows as w
 
 COLS = "seq bigint, ts bigint, session_id string, user_ip string, user_agent string, country string, asn bigint, prompt string, language string, publisher_id string"
@@ -87,6 +90,58 @@ def test_user_agent_cycle(spark):
     assert rules.publisher_signals(df.withColumn("session_flagged", F.lit(False))).where("publisher_ua_rotation").count() == 0
 
 
+def test_user_agent_cycles_of_any_window(spark):
+    """Several publishers, equal times, missing agents, times far apart; blocks are shorter than the data."""
+    r = random.Random(9)
+    cfg, rows, base = RuleConfig(rotation_min_requests=4, rotation_min_uas=2), [], 1_700_000_000_000
+    for k in range(12):
+        cycle, ts = r.choices("ABCD", k=r.randint(2, 5)), base + r.choice([0, 10**12])
+        for i in range(150):
+            ts += r.choice([0, 5_000, 30_000, 60_000, 400_000])
+            ua = cycle[i % len(cycle)] if r.random() < 0.98 else r.choice(["D", " ", None])
+            rows.append(_event(len(rows), ts, ua=ua, publisher=None if r.random() < 0.02 else f"p{k}"))
+    r.shuffle(rows)
+    got = {x.seq for x in rules.ua_rotations(spark.createDataFrame(rows, COLS), cfg).collect()}
+    want = set()
+    for k in {x[9] for x in rows} - {None}:
+        seen = sorted((x[1], x[0], x[4]) for x in rows if x[9] == k and (x[4] or "").strip())
+        for t, s, _ in seen:
+            mine = [ua for u, q, ua in seen if u >= t - cfg.ms("rotation_s") and (u, q) <= (t, s)]
+            if len(mine) >= 4 and _cycles(mine, 2):
+                want.add(s)
+    assert got == want and 100 < len(want) < 1700
+
+
+def test_cycles_against_brute_force():
+    r = random.Random(4)
+    for n in [0, 1, *(r.randrange(2, 60) for _ in range(300))]:
+        cycle = r.choices(range(4), k=r.randint(1, 7))
+        values = [cycle[i % len(cycle)] if r.random() < 0.97 else r.randrange(4) for i in range(n)]
+        since, at = [], 0
+        for i in range(n):
+            at = min(i, at + r.choice([0, 0, 1, 2]))
+            since.append(at)
+        got = cycles.cyclic(np.array(values, dtype=int), np.array(since, dtype=int), 2, 4)
+        assert got.tolist() == [len(x := values[a : i + 1]) >= 4 and _cycles(x, 2) for i, a in enumerate(since)]
+
+
+def test_rotation_of_a_busy_publisher(spark):
+    """40,000 requests in one window: their cost is not that of 40,000 windows."""
+    n = 40_000
+    df = spark.range(n).select(F.col("id").alias("seq"), F.col("id").alias("ts"), F.lit("p").alias("publisher_id"), F.concat(F.lit("agent "), (F.col("id") % 500).cast("string")).alias("user_agent"))
+    began = time.monotonic()
+    assert rules.with_ua_rotation(df).where("publisher_ua_rotation").agg(F.count("*"), F.min("seq")).first()[:] == (n - 999, 999)
+    odd = df.withColumn("user_agent", F.when(F.col("seq") == 30_001, "other").otherwise(F.col("user_agent")))
+    assert rules.with_ua_rotation(odd).where("publisher_ua_rotation").agg(F.count("*"), F.max("seq")).first()[:] == (30_000 - 999 + 1, 30_000)
+    assert time.monotonic() - began < 60
+
+
+def test_rotation_counts_in_the_score_as_documented(spark):
+    df = spark.createDataFrame([_event(i, 1000 * i, ua="ABCDE"[i % 5]) for i in range(15)], COLS)
+    got = {r.seq for r in rules.detect(df, RuleConfig(compat=False)).where(F.array_contains("reasons", "publisher_ua_rotation")).collect()}
+    assert got == set(range(9, 15))
+
+
 def test_similar_prompts():
     assert rules.similar("abcdefghij", ["abcdefghix"], 0.9) and not rules.similar("abc", ["xyz", "abcdefgh"], 0.9)
 
